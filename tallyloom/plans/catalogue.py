@@ -1,4 +1,9 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL, by module."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from . import documents, matching, retrieval, rows
+
+MODULES = [matching, documents, rows, retrieval]
+QUERIES: dict = {k: v for m in MODULES for k, v in m.BOOK.queries.items()}
+SQL: dict = {k: v for m in MODULES for k, v in m.BOOK.sql.items()}
