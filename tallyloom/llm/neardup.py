@@ -13,9 +13,12 @@ reach the threshold; the others are confirmed on the full sets. With threshold 0
 at the threshold shares a node in one tree with chance about 0.64, and is missed by all
 trees with chance below one in a thousand (measured in the tests), less above it.
 
-Confirmation starts with one link a class; only pairs whose ends are still in different
-components are confirmed after that. Components grow by least labels with pointer jumping,
-in tables of the shared folder; nothing grows on the driver.
+There are two passes. The first proposes few pairs where most fit, confirms the nearest of each
+class and of each component, and so draws dense groups together. The second proposes every
+pair that the sketch allows between different components and confirms all that are new, so
+the sparseness of the first pass loses nothing, and a group of near copies never writes its
+pairs. Components grow by least labels with pointer jumping, in tables of the shared folder;
+nothing grows on the driver.
 
 Words: A-Z are lower-cased, words are what white space (x20, x09-x0D) leaves. Defined results: a text
 of fewer words than a shingle is one shingle; null and blank texts have empty sets, are
@@ -32,6 +35,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import DOCUMENT_COLUMNS, stash, table
 from .hashing import P1, P2, byte_values, chunks, mixed
@@ -42,7 +46,8 @@ BASE = 3  # levels branched before nodes are first compared
 STEP = 2  # levels between two comparisons of large nodes
 ROUNDS = 4
 SMALL = 64
-PIVOTS = 2
+PIVOTS = 1
+NEAREST = 4  # proposals of each class that the first pass confirms
 SLACK = 12  # of 64 sketch bits, five standard errors
 WORDS = byte_values(bytes(b for b in range(256) if b not in (32, 9, 10, 11, 12, 13)))
 FACTORS = (mixed(np.arange(1, TOKENS + 1, dtype="u8")) >> np.uint64(32)).astype("u4") | np.uint32(1)
@@ -119,7 +124,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
     return rows.mapInPandas(run, f"doc_id {kind}, row bigint, n bigint, cid bigint, tokens binary, bits bigint")
 
 
-MEMBERS = "node bigint, cid bigint, n bigint, bits bigint"
+MEMBERS = "node bigint, cid bigint, n bigint, bits bigint, root bigint"
 
 
 def spread_out(classes: DataFrame, levels: int, threshold: float, at: str | None = None) -> DataFrame:
@@ -133,9 +138,9 @@ def spread_out(classes: DataFrame, levels: int, threshold: float, at: str | None
             roots = [b["node"].to_numpy().astype("i8").view("u8")] if at else [mixed(np.full(len(b), t + 1, "u8") * P1) for t in range(TREES)]
             for root in roots:
                 rows, node = branched(root, tokens, levels, threshold)
-                yield pd.DataFrame({"node": node.view("i8"), "cid": b["cid"].to_numpy()[rows], "n": b["n"].to_numpy()[rows], "bits": b["bits"].to_numpy()[rows]}).drop_duplicates(["node", "cid"])
+                yield pd.DataFrame({"node": node.view("i8"), "cid": b["cid"].to_numpy()[rows], "n": b["n"].to_numpy()[rows], "bits": b["bits"].to_numpy()[rows], "root": b["root"].to_numpy()[rows]}).drop_duplicates(["node", "cid"])
 
-    return classes.select(*(["node"] if at else []), "cid", "n", "bits", "tokens").mapInPandas(run, MEMBERS)
+    return classes.select(*(["node"] if at else []), "cid", "n", "bits", "root", "tokens").mapInPandas(run, MEMBERS)
 
 
 def differing(threshold: float) -> int:
@@ -144,17 +149,25 @@ def differing(threshold: float) -> int:
 
 
 class NodeStream:
-    """Reads nodes as sorted streams of rows (node, cid, n, bits) and holds SMALL rows and
-    two arrays of pivots at a time."""
+    """Reads nodes as sorted streams of rows (node, cid, n, bits, root) and holds SMALL rows
+    and the pivots at a time. Classes of the same root are not paired. sparse: where most pairs
+    fit, a class is paired with its nearest neighbour alone."""
 
-    def __init__(self, threshold: float, last: bool):
-        self.threshold, self.last, self.most = threshold, last, differing(threshold)
+    def __init__(self, threshold: float, last: bool, sparse: bool):
+        self.threshold, self.last, self.sparse, self.most = threshold, last, sparse, differing(threshold)
         self.node, self.held, self.large, self.pivots, self.out = None, None, False, None, []
 
     def pairs(self, x: np.ndarray, y: np.ndarray, square: bool) -> None:
         far = np.bitwise_count(x[:, None, 3].view("u8") ^ y[None, :, 3].view("u8")).astype("i8")
         small, big = np.minimum(x[:, None, 2], y[None, :, 2]), np.maximum(x[:, None, 2], y[None, :, 2])
-        fits = (far <= self.most) & (small >= self.threshold * big - 1e-9) & (x[:, None, 1] != y[None, :, 1])
+        fits = (far <= self.most) & (small >= self.threshold * big - 1e-9) & (x[:, None, 4] != y[None, :, 4])
+        if self.sparse and square and fits.sum() > 4 * len(x):
+            near = np.where(fits, far, 1 << 20)
+            best = near.argmin(1)
+            own = np.arange(len(x))
+            fits = np.zeros_like(fits)
+            fits[own, best] = near[own, best] < 1 << 20
+            fits |= fits.T
         i, j = np.nonzero(np.triu(fits, 1) if square else fits)
         if len(i):
             a, b = x[i, 1], y[j, 1]
@@ -195,12 +208,12 @@ class NodeStream:
         return pd.DataFrame(out, columns=["a", "b", "far", "proposed"])
 
 
-def compare(members: DataFrame, threshold: float, last: bool) -> DataFrame:
+def compare(members: DataFrame, threshold: float, last: bool, sparse: bool) -> DataFrame:
     """a, b, far of the pairs that are proposed (proposed = 1; a < b), and a = class, b = node
     of the members of nodes that are to be branched on (proposed = 0)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream = NodeStream(threshold, last)
+        stream = NodeStream(threshold, last, sparse)
         for batch in batches:
             rows = batch.to_numpy("i8")
             cuts = np.r_[0, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, len(rows)]
@@ -211,15 +224,15 @@ def compare(members: DataFrame, threshold: float, last: bool) -> DataFrame:
         stream.close()
         yield stream.taken()
 
-    dealt = members.repartition("node").sortWithinPartitions("node", "n", "bits", "cid").select("node", "cid", "n", "bits")
+    dealt = members.repartition("node").sortWithinPartitions("node", "n", "bits", "cid").select("node", "cid", "n", "bits", "root")
     return dealt.mapInPandas(run, "a bigint, b bigint, far bigint, proposed bigint")
 
 
-def proposals(classes: DataFrame, threshold: float) -> DataFrame:
-    """a, b, far: distinct pairs of classes that share a node of some tree."""
+def proposals(classes: DataFrame, threshold: float, sparse: bool) -> DataFrame:
+    """a, b, far: distinct pairs of classes of different roots that share a node of some tree."""
     members, found = spread_out(classes, BASE, threshold), None
     for k in range(ROUNDS):
-        got = stash(compare(members, threshold, k == ROUNDS - 1))
+        got = stash(compare(members, threshold, k == ROUNDS - 1, sparse))
         part = got.where("proposed = 1").select("a", "b", "far")
         found = part if found is None else found.unionByName(part)
         onward = got.where("proposed = 0").select(F.col("a").alias("cid"), F.col("b").alias("node")).distinct()
@@ -276,13 +289,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs, threshold = docs.select("doc_id", "text"), percent / 100
     rows = stash(sketch(docs, size))
     classes = stash(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("low"), F.min_by("row", F.struct("doc_id", "row")).alias("row"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")))
-    pairs = stash(proposals(classes, threshold))
-    tree = pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    links = stash(confirmed(tree, classes, docs, size, percent))
+    pairs = stash(proposals(classes.withColumn("root", F.col("cid")), threshold, True))
+    ends = pairs.select("far", "a", "b", F.explode(F.array("a", "b")).alias("c"))
+    best = F.row_number().over(Window.partitionBy("c").orderBy("far", "a", "b"))
+    tried = stash(ends.withColumn("k", best).where(F.col("k") <= NEAREST).select("a", "b").distinct())
+    links = stash(confirmed(tried, classes, docs, size, percent))
     roots = components(links)
     here = lambda c: roots.select(F.col("cid").alias(c), F.col("root").alias(f"_{c}"))
-    rest = pairs.join(tree, ["a", "b"], "left_anti").join(here("a"), "a", "left").join(here("b"), "b", "left")
-    rest = stash(rest.where(~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).select("a", "b"))
+    across = pairs.join(here("a"), "a", "left").join(here("b"), "b", "left").withColumns({"_a": F.coalesce("_a", "a"), "_b": F.coalesce("_b", "b")}).where("_a <> _b").join(tried, ["a", "b"], "left_anti")
+    nearest = across.select("far", "a", "b", F.explode(F.array("_a", "_b")).alias("_c")).groupBy("_c").agg(F.min(F.struct("far", "a", "b")).alias("x"))
+    more = stash(nearest.select("x.a", "x.b").distinct())
+    if more.take(1):
+        links = stash(links.unionByName(confirmed(more, classes, docs, size, percent)))
+        roots = components(links)
+    grouped = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rest = proposals(grouped, threshold, False).join(tried.unionByName(more), ["a", "b"], "left_anti")
+    rest = stash(rest.select("a", "b"))
     if rest.take(1):
         roots = components(links.unionByName(confirmed(rest, classes, docs, size, percent)))
     low = classes.select("cid", "low").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
