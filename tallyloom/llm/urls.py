@@ -3,7 +3,8 @@
 Two smoothed variable-order Markov models, one of accepted and one of rejected URLs, are
 counted from the URLs that the rules decide (a fifth of them is held out). Counts of
 contexts and of context-plus-character live in SLOTS hashed slots, so the model is two
-arrays of fixed size that scalar subqueries hand to every task: no join, no hot key. Each
+arrays of fixed size, written as a table of one row, that scalar subqueries hand to every
+task: no join, no hot key. Each
 order is interpolated with the next lower one. A URL's score is its mean log-likelihood
 difference per character; the held-out URLs set the threshold between the two classes.
 
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 
 #: Fixed by the query's contract: host, path prefix, verdict.
 RULES = [
@@ -95,12 +96,12 @@ def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url
     rows = rows.withColumns({"_rule": rule_case(F.col("_host"), F.col("_path"), rules, lambda r: F.lit(r[0] + r[1])), "_ruled": rule_case(F.col("_host"), F.col("_path"), rules, lambda r: F.lit(r[2]))})
     known = rows.where(F.col("_ruled").isNotNull()).withColumn("_y", (F.col("_ruled") == "allow").cast("long"))
     out = F.pmod(F.xxhash64("_u"), F.lit(5)) == 0
-    model = count_model(known.where(~out).select("_u", "_y"))
+    model = stash(count_model(known.where(~out).select("_u", "_y")))
     held = scored(known.where(out).select("_u", "_y").withColumn("_row", F.monotonically_increasing_id()), model, ["_row", "_y"])
     stats = held.agg(*(f(F.when(F.col("_y") == y, F.col("score"))).alias(n) for y, f, n in ((1, F.avg, "ma"), (0, F.avg, "mr"), (1, F.stddev_pop, "sa"), (0, F.stddev_pop, "sr"))))
     spread = F.col("sa") + F.col("sr")
     middle = F.when(spread > 0, (F.col("ma") * F.col("sr") + F.col("mr") * F.col("sa")) / spread).otherwise((F.col("ma") + F.col("mr")) / 2)
-    threshold = stats.select(F.coalesce(middle, F.lit(0.0)).alias("t")).scalar()
+    threshold = stash(stats.select(F.coalesce(middle, F.lit(0.0)).alias("t"))).scalar()
     keep = ["_row", "_key", "_host", "_path", "_rule", "_ruled"]
     out = scored(rows.withColumn("_row", F.monotonically_increasing_id()), model, keep).withColumn("threshold", threshold)
     verdict = F.coalesce("_ruled", F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block"))
