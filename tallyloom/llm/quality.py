@@ -8,8 +8,8 @@ the prior. A document's posterior log-odds are its own evidence plus what its pa
 posterior adds to the global prior. Site rows are salted before they meet the documents, so
 a host with a third of all rows is split over tasks.
 
-The classifier is fitted on at most FIT_ROWS labelled rows (those with the smallest hash of
-doc_id); everything else covers all rows. Defined results: null text counts as empty and an
+The classifier is fitted on at most FIT_ROWS labelled rows (those with the smallest
+hashes of doc_id and text); everything else covers all rows. Defined results: null text counts as empty and an
 empty text has zero features; null host or path is a group of its own; without labels of
 both kinds every score is 0.5 and is kept; repeated rows are scored row by row.
 """
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, stash, table
+from .common import DOCUMENT_COLUMNS, hash_sample, stash, table
 
 FIT_ROWS = 20_000
 SALTS = 16
@@ -118,7 +118,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     rows = with_features(docs.select("doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path"))).withColumn("_k", F.xxhash64("doc_id", "text")).drop("text")
     rows = stash(rows)
     known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    sample = rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "_k").limit(FIT_ROWS).select("_f", "quality").toPandas()
+    labelled = stash(rows.join(known, "doc_id").select("doc_id", "_k", "_f", "quality"))
+    sample = hash_sample(labelled, FIT_ROWS, "doc_id", "_k").select("_f", "quality").toPandas()
     if sample["quality"].nunique() == 2:
         w = fit(np.array(sample["_f"].tolist()), sample["quality"].to_numpy(float), ridge=0.1)
     else:
