@@ -7,17 +7,19 @@ chooses) leads to a child, and with chance 1/threshold - 1 a second one does, so
 the threshold keeps one shared path on average however deep the tree grows. Nodes of at
 most SMALL classes are compared exhaustively; larger ones are branched on, and meanwhile
 every class there is compared with the node's pivots, so members of a large group meet
-through pivots and no group's pairs are all written. The deepest level also compares runs
-of SMALL neighbours. One sketch bit a token and the set sizes rule out pairs that cannot
+through pivots. At the deepest level the first pass compares runs of SMALL neighbours; the
+second compares every two classes of different components, in blocks (a deeper tree would not
+do: the chance that a pair at the threshold shares a path falls with each level). One sketch bit a token and the set sizes rule out pairs that cannot
 reach the threshold; the others are confirmed on the full sets. With threshold 0.8, a pair
 at the threshold shares a node in one tree with chance about 0.64, and is missed by all
 trees with chance below one in a thousand (measured in the tests), less above it.
 
 There are two passes. The first proposes few pairs where most fit, confirms the nearest of each
 class and of each component, and so draws dense groups together. The second proposes every
-pair that the sketch allows between different components and confirms all that are new, so
-the sparseness of the first pass loses nothing, and a group of near copies never writes its
-pairs. Components grow by least labels with pointer jumping, in tables of the shared folder;
+pair that the sketch allows between different components; nodes of one component alone are
+left out. The nearest pairs of each class are confirmed first, more of them in each round, and
+those that links have meanwhile put into one component need no test, so the sparseness of the
+first pass loses nothing, and a group of near copies that it joined never writes its pairs. Components grow by least labels with pointer jumping, in tables of the shared folder;
 nothing grows on the driver.
 
 Words: A-Z are lower-cased, words are what white space (x20, x09-x0D) leaves. Defined results: a text
@@ -47,6 +49,7 @@ STEP = 2  # levels between two comparisons of large nodes
 ROUNDS = 4
 SMALL = 64
 PIVOTS = 1
+BLOCK = 4096  # classes of a large node that one key of a join holds
 NEAREST = 4  # proposals of each class that the first pass confirms
 SLACK = 12  # of 64 sketch bits, five standard errors
 WORDS = byte_values(bytes(b for b in range(256) if b not in (32, 9, 10, 11, 12, 13)))
@@ -228,16 +231,40 @@ def compare(members: DataFrame, threshold: float, last: bool, sparse: bool) -> D
     return dealt.mapInPandas(run, "a bigint, b bigint, far bigint, proposed bigint")
 
 
+def across_roots(members: DataFrame, threshold: float) -> DataFrame:
+    """a, b, far: all pairs of different roots in the nodes of members that the sketch and the sizes
+    allow. The classes outside a node's most frequent root meet each block of its classes."""
+    sizes = members.groupBy("node", "root").agg(F.count(F.lit(1)).alias("k"))
+    nodes = sizes.groupBy("node").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.ceil(F.sum("k") / BLOCK).alias("parts"))
+    tagged = stash(members.join(nodes, "node"))
+    x = tagged.withColumn("part", F.pmod(F.xxhash64("cid"), "parts"))
+    y = tagged.where("root <> main").select("node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"_{c}") for c in ("cid", "n", "bits", "root")))
+    far = F.bit_count(F.col("bits").bitwiseXOR(F.col("_bits"))).cast("bigint")
+    sized = F.least("n", "_n") >= threshold * F.greatest("n", "_n") - 1e-9
+    once = (F.col("root") == F.col("main")) | (F.col("cid") < F.col("_cid"))
+    pairs = x.join(y, ["node", "part"]).where((F.col("root") != F.col("_root")) & once & sized & (far <= differing(threshold)))
+    return pairs.select(F.least("cid", "_cid").alias("a"), F.greatest("cid", "_cid").alias("b"), far.alias("far"))
+
+
 def proposals(classes: DataFrame, threshold: float, sparse: bool) -> DataFrame:
     """a, b, far: distinct pairs of classes of different roots that share a node of some tree."""
     members, found = spread_out(classes, BASE, threshold), None
     for k in range(ROUNDS):
-        got = stash(compare(members, threshold, k == ROUNDS - 1, sparse))
+        got = stash(compare(members, threshold, sparse and k == ROUNDS - 1, sparse))
         part = got.where("proposed = 1").select("a", "b", "far")
         found = part if found is None else found.unionByName(part)
         onward = got.where("proposed = 0").select(F.col("a").alias("cid"), F.col("b").alias("node")).distinct()
-        if k == ROUNDS - 1 or not onward.take(1):
+        if not sparse:
+            onward = stash(onward.join(classes.select("cid", "n", "bits", "root"), "cid"))
+            several = onward.groupBy("node").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+            onward = stash(onward.join(several.select("node"), "node", "left_semi").select("node", "cid", "n", "bits", "root"))
+        if not onward.take(1):
+            break
+        if k == ROUNDS - 1:
+            if not sparse:
+                found = found.unionByName(across_roots(onward, threshold))
             break
+        onward = onward.select("cid", "node")
         members = spread_out(onward.join(classes, "cid"), STEP, threshold, at="node")
     return found.groupBy("a", "b").agg(F.min("far").alias("far"))
 
@@ -283,6 +310,22 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
+def joined(rest: DataFrame, links: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The roots after all of rest (a, b, far) whose ends are still in different components are tested."""
+    most = NEAREST
+    while True:
+        here = lambda c: roots.select(F.col("cid").alias(c), F.col("root").alias(f"_{c}"))
+        split = rest.join(here("a"), "a", "left").join(here("b"), "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+        rest = stash(split.select("a", "b", "far"))
+        if not rest.take(1):
+            return roots
+        best = F.row_number().over(Window.partitionBy("c").orderBy("far", "a", "b"))
+        ends = rest.select("far", "a", "b", F.explode(F.array("a", "b")).alias("c"))
+        now = stash(ends.withColumn("k", best).where(F.col("k") <= most).select("a", "b").distinct())
+        links = stash(links.unionByName(confirmed(now, classes, docs, size, percent)))
+        roots, rest, most = components(links), rest.join(now, ["a", "b"], "left_anti"), most * 8
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, row (hash of doc_id and text), n_shingles, component_id, kept for each row of docs
     (doc_id, text): size words a shingle, links at percent of the union."""
@@ -304,9 +347,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         roots = components(links)
     grouped = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     rest = proposals(grouped, threshold, False).join(tried.unionByName(more), ["a", "b"], "left_anti")
-    rest = stash(rest.select("a", "b"))
-    if rest.take(1):
-        roots = components(links.unionByName(confirmed(rest, classes, docs, size, percent)))
+    roots = joined(stash(rest), links, roots, classes, docs, size, percent)
     low = classes.select("cid", "low").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = low.join(low.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("cid", "component_id")
     out = rows.select("doc_id", "row", F.col("n").alias("n_shingles"), "cid").join(named, "cid", "left")

@@ -128,6 +128,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == want
 
 
+def test_single_link_outsiders_of_a_large_group(spark):
+    """Each outsider is similar enough to one member of a group of 1,500 near copies, and to no other."""
+    rng, rows = random.Random(3), []
+    base = [f"w{k}" for k in range(201)]
+    for k in range(1500):
+        own = base[:]
+        for at in rng.sample(range(100), 4):
+            own[2 * at] = f"m{k}x{at}"
+        rows.append((k, " ".join(own)))
+        if k % 10 == 0:
+            for at in rng.sample([j for j in range(100) if own[2 * j] == base[2 * j]], 10):
+                own[2 * at] = f"o{k}x{at}"
+            rows.append((10_000 + k, " ".join(own)))
+    got = neardup.near_duplicates(docs(spark, rows), 2, 80).groupBy("component_id").count().collect()
+    assert [(r["component_id"], r["count"]) for r in got] == [(0, len(rows))]
+
+
 def test_lines(spark):
     rows = [(k, f"own {k}\nSame line\n\n {'pair' if k < 4 else 'rest'} ") for k in range(6)] + [(9, None), (10, "")]
     df = spark.createDataFrame([(k, t, "en", f"s{k}", 0) for k, t in rows], DOCS)
