@@ -75,6 +75,32 @@ def test_url_rules_and_model(spark, tables):
     assert urls.judge_urls(tables["pages"].limit(0)).count() == 0
 
 
+def test_url_scores_equal_exact_counts(spark):
+    """More distinct contexts and grams than any fixed number of slots that was used before."""
+    rng, seen = random.Random(4), {"a": {}, "r": {}}
+    rows = [(k, f"http://{['x.org/', 'x.com/de/', 'x.net/'][k % 3]}" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=40))) for k in range(6000)]
+    df = spark.createDataFrame(rows, "page_id int, url string")
+    out = {r["page_id"] for r in df.where("pmod(xxhash64(url), 5) = 0").collect()}
+    keys = lambda g: [(kind, k, g[4 - k : 4 + (kind == "g")]) for k in range(5) for kind in "gc"]
+    grams = lambda u: [s[i : i + 5] for s in ["\x02" * 4 + u + "\x03"] for i in range(len(s) - 4)]
+    for k, u in rows:
+        if k % 3 < 2 and k not in out:
+            for g in grams(u):
+                for x in keys(g):
+                    seen["ar"[k % 3]][x] = seen["ar"[k % 3]].get(x, 0) + 1
+    assert len(set(seen["a"]) | set(seen["r"])) > 2 * 131_072
+
+    def chance(name, g):
+        p, own = 1 / 128, [seen[name].get(x, 0) for x in keys(g)]
+        for k in range(5):
+            p = (own[2 * k] + 2 * p) / (own[2 * k + 1] + 2)
+        return p
+
+    got = {r["page_id"]: r["score"] for r in urls.judge_urls(df).collect()}
+    for k, u in rows[:300]:
+        assert got[k] == pytest.approx(np.mean([np.log(chance("a", g)) - np.log(chance("r", g)) for g in grams(u)]), abs=1e-9)
+
+
 def test_license_base_equals_brute_force(spark):
     rows = [*EDGE, (7, "Under the MIT  License, under the mit license; CC BY-NC."), (8, "cc by nc cc by nc Apache License, Version 2"), (9, "Permission is hereby granted, free of charge, to any person obtaining a copy of the software and associated documentation files")]
     got = {(r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in licenses.scan_licenses(docs(spark, rows, score=1)).collect()}
