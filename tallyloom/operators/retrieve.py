@@ -42,6 +42,30 @@ def overlap_scores(queries: DataFrame, docs: DataFrame, kind: str, also: str | N
     return both.select("q", "d", value[kind].alias("score"), *([value[also].alias(also)] if also else []))
 
 
+def common_length(a: str, b: str) -> int:
+    """The length of the longest common subsequence, with the places of a as bits of one number."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    every = row = (1 << len(a)) - 1
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & every
+    return len(a) - row.bit_count()
+
+
+def token_sort_ratios(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """q, d, ratio of pairs (q, d) of texts (k, text): 2 LCS / (|a| + |b|) of the whole texts with their words sorted."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"q": b["q"], "d": b["d"], "ratio": [2 * common_length(x, y) / (len(x) + len(y)) if x or y else 1.0 for x, y in zip(b["a"], b["b"])]})
+
+    kept = texts.select("k", F.array_join(F.array_sort(F.split(F.trim(F.lower("text")), r"\s+")), " ").alias("s"))
+    both = pairs.join(kept.select(F.col("k").alias("q"), F.col("s").alias("a")), "q").join(kept.select(F.col("k").alias("d"), F.col("s").alias("b")), "d")
+    return both.select("q", "d", "a", "b").mapInPandas(run, "q bigint, d bigint, ratio double")
+
+
 def cosine_top(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, digits: int = 6) -> DataFrame:
     """q, d, cos: the k nearest rows of each query row. Queries go out in blocks of BLOCK;
     each batch of rows meets a block as one matrix product and keeps its best k a query,

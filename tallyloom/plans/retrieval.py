@@ -69,11 +69,10 @@ def cosine_topk(t):
 
 @BOOK.query()
 def fuzzy_token_sort(t):
-    """Neighbouring items' token-sort ratio of their first words (titles are short)."""
-    title = F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ")
-    a = t.benchmark.select("item_id", title.alias("a"))
-    b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
-    return a.join(b, "item_id").select("item_id", F.round(tx.token_sort_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+    """The token-sort ratio of the whole texts of each two items that share a token."""
+    rows = t.benchmark.select(F.col("item_id").alias("k"), "text", tx.tokens(F.col("text")).alias("x"))
+    pairs = rt.overlap_scores(rows, rows, "share").where("q <> d").select("q", "d")
+    return rt.token_sort_ratios(pairs, rows.select("k", "text")).select("q", "d", F.round("ratio", 6).alias("ratio"))
 
 
 @BOOK.query(f"""WITH b AS (SELECT item_id, item_id % 3 dom, {SQL_TOKENS.format('text')} x FROM benchmark),
