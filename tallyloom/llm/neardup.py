@@ -5,27 +5,30 @@ for all its copies. Each class is branched through TREES independent trees: at a
 minwise token (the least hash of the set under one of TOKENS functions that the node itself
 chooses) leads to a child, and with chance 1/threshold - 1 a second one does, so a pair at
 the threshold keeps one shared path on average however deep the tree grows. Nodes of at
-most SMALL classes are compared exhaustively; larger ones are branched on, and meanwhile
-every class there is compared with the node's pivots, so members of a large group meet
-through pivots. At the deepest level the first pass compares runs of SMALL neighbours; the
-second compares every two classes of different components, in blocks (a deeper tree would not
-do: the chance that a pair at the threshold shares a path falls with each level). One sketch bit a token and the set sizes rule out pairs that cannot
-reach the threshold; the others are confirmed on the full sets. With threshold 0.8, a pair
-at the threshold shares a node in one tree with chance about 0.64, and is missed by all
-trees with chance below one in a thousand (measured in the tests), less above it.
-
-There are two passes. The first proposes few pairs where most fit, confirms the nearest of each
-class and of each component, and so draws dense groups together. The second proposes every
-pair that the sketch allows between different components; nodes of one component alone are
-left out. The nearest pairs of each class are confirmed first, more of them in each round, and
-those that links have meanwhile put into one component need no test, so the sparseness of the
-first pass loses nothing, and a group of near copies that it joined never writes its pairs. Components grow by least labels with pointer jumping, in tables of the shared folder;
-nothing grows on the driver.
+most SMALL classes are compared exhaustively. In a larger node each class is held against a
+sample of SAMPLE others: if it resembles them on average (DENSE of the threshold), branching
+would not part it from them, so it is compared with the whole node there; the others are
+branched on, until no class is left. PLANES bits a token and the set sizes rule out pairs that
+cannot reach the threshold.
+
+What a node yields is linear in its classes. Where few pairs fit, all are proposed. Where most
+fit (a dense part of more than 2 MANY classes or so), each class proposes its nearest one
+and is named a member of the part; parts that share classes make a group. Proposals are
+confirmed on the full sets and joined to components. A group whose classes are still in several
+components is then compared exhaustively on its full sets: the classes outside the group's
+most frequent component meet every class of it, in blocks of VOLUME shingles, each block a
+task of its own, and a task emits only the links that join two components. So neither a large
+group of near copies nor one around the threshold writes its pairs, and none of its links
+between components is lost.
+
+A pair at the threshold shares a node of BASE levels in one tree with chance about 0.64, so
+that all trees miss it with chance below one in a million, and below one in a thousand where
+nodes are branched to 9 levels; more similar pairs are missed less often.
 
 Words: A-Z are lower-cased, words are what white space (x20, x09-x0D) leaves. Defined results: a text
 of fewer words than a shingle is one shingle; null and blank texts have empty sets, are
 linked with nothing and are kept; rows that repeat a doc_id share its class if their texts
-agree; a null doc_id never names a component unless no other is there.
+agree; a null doc_id never names a component unless no other is there; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -37,7 +40,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import DOCUMENT_COLUMNS, stash, table
 from .hashing import P1, P2, byte_values, chunks, mixed
@@ -45,15 +47,19 @@ from .hashing import P1, P2, byte_values, chunks, mixed
 TOKENS = 64
 TREES = 14
 BASE = 3  # levels branched before nodes are first compared
-STEP = 2  # levels between two comparisons of large nodes
-ROUNDS = 4
-SMALL = 64
-PIVOTS = 1
-BLOCK = 4096  # classes of a large node that one key of a join holds
-NEAREST = 4  # proposals of each class that the first pass confirms
-SLACK = 12  # of 64 sketch bits, five standard errors
+STEP = 2  # levels between two looks at a large node
+SMALL = 512
+SAMPLE = 64
+DENSE = 0.9  # of the threshold
+HOLD = 1 << 14  # classes of a large node in memory at a time
+MANY = 4  # fitting pairs a class, up to which all of them are proposed
+TINY = 2 * MANY + 1  # classes that cannot have more
+VOLUME = 1 << 21  # shingles of a group that one task holds
+PLANES = 3  # sketch bits a token
+ERRORS = 4.5  # standard errors that a sketch may stray
 WORDS = byte_values(bytes(b for b in range(256) if b not in (32, 9, 10, 11, 12, 13)))
 FACTORS = (mixed(np.arange(1, TOKENS + 1, dtype="u8")) >> np.uint64(32)).astype("u4") | np.uint32(1)
+SKETCH = [f"s{k}" for k in range(PLANES)]
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -84,9 +90,10 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 
 def bits_of(tokens: np.ndarray) -> np.ndarray:
-    """One bit a token, packed into 64."""
-    b = (mixed(tokens.astype("u8") + P1) >> np.uint64(40) & np.uint64(1)) << np.arange(TOKENS, dtype="u8")
-    return np.bitwise_or.reduce(b, axis=-1)
+    """PLANES bits a token: a column of 64 bits for each plane."""
+    h = mixed(tokens.astype("u8") + P1)
+    place = np.arange(TOKENS, dtype="u8")
+    return np.stack([np.bitwise_or.reduce((h >> np.uint64(40 + k) & np.uint64(1)) << place, axis=-1) for k in range(PLANES)], -1)
 
 
 def children(node: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +117,7 @@ def branched(node: np.ndarray, tokens: np.ndarray, levels: int, threshold: float
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, row, n, cid (class), tokens (binary), bits for each row of doc_id, text."""
+    """doc_id, row, n, cid (class), tokens (binary) and SKETCH for each row of doc_id, text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,164 +127,223 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                 n.append(len(s))
                 cid.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                 tokens.append(minwise(s))
-            got = np.array(tokens).reshape(-1, TOKENS)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "row": b["row"], "n": n, "cid": cid, "tokens": [x.tobytes() for x in tokens], "bits": bits_of(got).view("i8")})
+            planes = bits_of(np.array(tokens).reshape(-1, TOKENS)).view("i8")
+            out = {"doc_id": b["doc_id"], "row": b["row"], "n": n, "cid": cid, "tokens": [x.tobytes() for x in tokens]}
+            yield pd.DataFrame(out | dict(zip(SKETCH, planes.T)))
 
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    return rows.mapInPandas(run, f"doc_id {kind}, row bigint, n bigint, cid bigint, tokens binary, bits bigint")
+    return rows.mapInPandas(run, f"doc_id {kind}, row bigint, n bigint, cid bigint, tokens binary, " + ", ".join(f"{c} bigint" for c in SKETCH))
 
 
-MEMBERS = "node bigint, cid bigint, n bigint, bits bigint, root bigint"
+MEMBER = ["node", "cid", "n", *SKETCH]
 
 
-def spread_out(classes: DataFrame, levels: int, threshold: float, at: str | None = None) -> DataFrame:
-    """MEMBERS: each class at the nodes that it reaches from the roots, or from column at."""
+def spread_out(classes: DataFrame, levels: int, threshold: float, at: bool = False) -> DataFrame:
+    """MEMBER rows: each class at the nodes that it reaches from the roots, or from column node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             tokens = np.frombuffer(b"".join(b["tokens"]), "u4").reshape(-1, TOKENS)
-            roots = [b["node"].to_numpy().astype("i8").view("u8")] if at else [mixed(np.full(len(b), t + 1, "u8") * P1) for t in range(TREES)]
-            for root in roots:
-                rows, node = branched(root, tokens, levels, threshold)
-                yield pd.DataFrame({"node": node.view("i8"), "cid": b["cid"].to_numpy()[rows], "n": b["n"].to_numpy()[rows], "bits": b["bits"].to_numpy()[rows], "root": b["root"].to_numpy()[rows]}).drop_duplicates(["node", "cid"])
+            own = {c: b[c].to_numpy() for c in MEMBER[1:]}
+            starts = [b["node"].to_numpy().astype("i8").view("u8")] if at else [mixed(np.full(len(b), t + 1, "u8") * P1) for t in range(TREES)]
+            for start in starts:
+                rows, node = branched(start, tokens, levels, threshold)
+                yield pd.DataFrame({"node": node.view("i8")} | {c: x[rows] for c, x in own.items()}).drop_duplicates(["node", "cid"])
 
-    return classes.select(*(["node"] if at else []), "cid", "n", "bits", "root", "tokens").mapInPandas(run, MEMBERS)
+    return classes.select(*(["node"] if at else []), *MEMBER[1:], "tokens").mapInPandas(run, ", ".join(f"{c} bigint" for c in MEMBER))
 
 
-def differing(threshold: float) -> int:
-    """The most sketch bits in which two sets at the threshold differ."""
-    return int((1 - threshold) / 2 * TOKENS) + SLACK
+def strays(threshold: float) -> float:
+    """The share of tokens whose sketches differ in two sets at the threshold."""
+    return (1 - threshold) * (1 - 0.5**PLANES)
+
+
+ONWARD, PAIR, PART = 0, 1, 2
 
 
 class NodeStream:
-    """Reads nodes as sorted streams of rows (node, cid, n, bits, root) and holds SMALL rows
-    and the pivots at a time. Classes of the same root are not paired. sparse: where most pairs
-    fit, a class is paired with its nearest neighbour alone."""
-
-    def __init__(self, threshold: float, last: bool, sparse: bool):
-        self.threshold, self.last, self.sparse, self.most = threshold, last, sparse, differing(threshold)
-        self.node, self.held, self.large, self.pivots, self.out = None, None, False, None, []
-
-    def pairs(self, x: np.ndarray, y: np.ndarray, square: bool) -> None:
-        far = np.bitwise_count(x[:, None, 3].view("u8") ^ y[None, :, 3].view("u8")).astype("i8")
-        small, big = np.minimum(x[:, None, 2], y[None, :, 2]), np.maximum(x[:, None, 2], y[None, :, 2])
-        fits = (far <= self.most) & (small >= self.threshold * big - 1e-9) & (x[:, None, 4] != y[None, :, 4])
-        if self.sparse and square and fits.sum() > 4 * len(x):
-            near = np.where(fits, far, 1 << 20)
-            best = near.argmin(1)
-            own = np.arange(len(x))
-            fits = np.zeros_like(fits)
-            fits[own, best] = near[own, best] < 1 << 20
-            fits |= fits.T
-        i, j = np.nonzero(np.triu(fits, 1) if square else fits)
-        if len(i):
-            a, b = x[i, 1], y[j, 1]
-            self.out.append(np.stack([np.minimum(a, b), np.maximum(a, b), far[i, j], np.ones(len(i), "i8")], 1))
-
-    def block(self, own: np.ndarray) -> None:
-        """Some members of a large node: pairs with its pivots, and with each other at last."""
-        if self.pivots is None or own[0, 2] * self.threshold > self.pivots[0, 2]:
-            self.pivots = own[:PIVOTS]
-        self.pairs(self.pivots, own, False)
-        if self.last:
-            self.pairs(own, own, True)
-        else:
-            self.out.append(np.stack([own[:, 1], own[:, 0], own[:, 0] * 0, own[:, 0] * 0], 1))
+    """Reads nodes as sorted streams of MEMBER rows, HOLD of one node at a time, and collects
+    (kind, a, b): ONWARD class and node, PAIR of classes, PART class and head of its part."""
+
+    def __init__(self, threshold: float):
+        p = strays(threshold)
+        self.threshold = threshold
+        self.most = int(TOKENS * p + ERRORS * (TOKENS * p * (1 - p)) ** 0.5)
+        self.alike = TOKENS * strays(DENSE * threshold)
+        self.node, self.held, self.size, self.sample, self.whole, self.split, self.out = None, [], 0, None, False, False, []
+
+    def far(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        differ = x[:, None, 3] ^ y[None, :, 3]
+        for k in range(1, PLANES):
+            differ |= x[:, None, 3 + k] ^ y[None, :, 3 + k]
+        return np.bitwise_count(differ.view("u8"))
+
+    def emit(self, kind: int, a: np.ndarray, b: np.ndarray) -> None:
+        if kind == PAIR:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        self.out.append(np.stack([np.full(len(a), kind, "i8"), a, b], 1))
+
+    def allowed(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """far of each row of x and each row of y, and whether the sketch and the sizes allow the pair."""
+        far, n, m = self.far(x, y), x[:, None, 2], y[None, :, 2]
+        fits = (far <= self.most) & (np.minimum(n, m) >= self.threshold * np.maximum(n, m) - 1e-9)
+        return far, fits & (x[:, None, 1] != y[None, :, 1])
+
+    def tiny(self, rows: np.ndarray, size: int) -> None:
+        """All nodes of this size at once; so few classes are never crowded."""
+        rows = rows.reshape(-1, size, rows.shape[1])
+        for i, j in zip(*np.triu_indices(size, 1)):
+            x, y = rows[:, i], rows[:, j]
+            differ = x[:, 3] ^ y[:, 3]
+            for k in range(1, PLANES):
+                differ |= x[:, 3 + k] ^ y[:, 3 + k]
+            fits = (np.bitwise_count(differ.view("u8")) <= self.most) & (np.minimum(x[:, 2], y[:, 2]) >= self.threshold * np.maximum(x[:, 2], y[:, 2]) - 1e-9)
+            self.emit(PAIR, x[fits, 1], y[fits, 1])
+
+    def small(self, rows: np.ndarray) -> None:
+        """Proposals of a node of at most SMALL rows."""
+        far, fits = self.allowed(rows, rows)
+        i, j = np.nonzero(np.triu(fits))
+        if not len(i):
+            return
+        label = np.arange(len(rows))
+        while True:
+            low = label.copy()
+            np.minimum.at(low, i, label[j])
+            np.minimum.at(low, j, label[i])
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        edges = np.bincount(label[i], minlength=len(rows))
+        few = edges[label[i]] <= MANY * np.bincount(label, minlength=len(rows))[label[i]]
+        self.emit(PAIR, rows[i[few], 1], rows[j[few], 1])
+        own = np.unique(np.r_[i[~few], j[~few]])
+        if len(own):
+            best = np.where(fits[own], far[own], 255).argmin(1)
+            self.emit(PAIR, rows[own, 1], rows[best, 1])
+            self.emit(PART, rows[own, 1], rows[label[own], 1])
+
+    def crowd(self, rows: np.ndarray, dense: np.ndarray) -> None:
+        """Proposals of the dense rows of a large node: each row that fits one of them is of the
+        part and proposes the nearest."""
+        near, best = np.full(len(rows), 255, "u1"), np.zeros(len(rows), "i8")
+        for at in range(0, len(dense), 128):
+            own = dense[at : at + 128]
+            far, fits = self.allowed(rows, rows[own])
+            far = np.where(fits, far, 255).astype("u1")
+            k = far.argmin(1)
+            closer = far[np.arange(len(rows)), k] < near
+            near[closer], best[closer] = far[closer, k[closer]], own[k[closer]]
+        own = np.flatnonzero(near < 255)
+        self.emit(PAIR, rows[own, 1], rows[best[own], 1])
+        if self.whole:
+            self.emit(PART, rows[:, 1], np.full(len(rows), self.head))
+        elif len(own):
+            self.emit(PART, rows[own, 1], np.full(len(own), rows[own[0], 1]))
+
+    def large(self, rows: np.ndarray, last: bool) -> None:
+        """A node above SMALL, or HOLD rows of one above HOLD. In the latter the sample decides for
+        the node: if any of it is dense, the whole node is a part."""
+        if self.sample is None:
+            self.sample, self.head, self.split = rows[:SAMPLE], int(rows[0, 1]), not last
+            self.whole = self.split and bool(self.dense(self.sample).any())
+        dense = self.dense(rows)
+        if self.split and not self.whole:
+            dense[:] = False
+        self.emit(ONWARD, rows[~dense, 1], np.full((~dense).sum(), self.node))
+        if self.whole or dense.any():
+            self.crowd(rows, np.flatnonzero(dense))
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        own = (rows[:, None, 1] == self.sample[None, :, 1]).sum(1)
+        return self.far(rows, self.sample).sum(1) <= self.alike * np.maximum(1, len(self.sample) - own)
 
     def add(self, part: np.ndarray) -> None:
         if part[0, 0] != self.node:
             self.close()
-            self.node, self.held = part[0, 0], part
-        else:
-            self.held = np.vstack([self.held, part])
-        while len(self.held) > SMALL or self.large and len(self.held) == SMALL:
-            self.large = True
-            self.block(self.held[:SMALL])
-            self.held = self.held[SMALL:]
+            self.node = part[0, 0]
+        self.held.append(part)
+        self.size += len(part)
+        if self.size > HOLD:
+            rows = np.vstack(self.held)
+            while len(rows) > HOLD:
+                self.large(rows[:HOLD], False)
+                rows = rows[HOLD:]
+            self.held, self.size = [rows], len(rows)
 
     def close(self) -> None:
-        if self.node is not None and len(self.held):
-            if self.large:
-                self.block(self.held)
-            elif len(self.held) > 1:
-                self.pairs(self.held, self.held, True)
-        self.node, self.held, self.large, self.pivots = None, None, False, None
+        if self.size:
+            rows = np.vstack(self.held) if len(self.held) > 1 else self.held[0]
+            if self.sample is not None or len(rows) > SMALL:
+                self.large(rows, True)
+            elif len(rows) > 1:
+                self.small(rows)
+        self.node, self.held, self.size, self.sample, self.whole = None, [], 0, None, False
 
     def taken(self) -> pd.DataFrame:
-        out = np.vstack([np.zeros((0, 4), "i8"), *self.out])
+        out = np.vstack([np.zeros((0, 3), "i8"), *self.out])
         self.out = []
-        return pd.DataFrame(out, columns=["a", "b", "far", "proposed"])
+        return pd.DataFrame(out, columns=["kind", "a", "b"])
 
 
-def compare(members: DataFrame, threshold: float, last: bool, sparse: bool) -> DataFrame:
-    """a, b, far of the pairs that are proposed (proposed = 1; a < b), and a = class, b = node
-    of the members of nodes that are to be branched on (proposed = 0)."""
+def compared(members: DataFrame, threshold: float) -> DataFrame:
+    """kind, a, b of all nodes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream = NodeStream(threshold, last, sparse)
+        stream = NodeStream(threshold)
         for batch in batches:
             rows = batch.to_numpy("i8")
+            if not len(rows):
+                continue
             cuts = np.r_[0, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, len(rows)]
-            for k in range(len(cuts) - 1):
-                if cuts[k] < cuts[k + 1]:
-                    stream.add(rows[cuts[k] : cuts[k + 1]])
+            sizes = np.diff(cuts)
+            sizes[[0, -1]] = len(rows) + TINY  # these may go on in another batch
+            for size in range(2, TINY + 1):
+                own = cuts[:-1][sizes == size]
+                if len(own):
+                    stream.tiny(rows[(own[:, None] + np.arange(size)).reshape(-1)], size)
+            for k in np.flatnonzero(sizes > TINY):
+                stream.add(rows[cuts[k] : cuts[k + 1]])
             yield stream.taken()
         stream.close()
         yield stream.taken()
 
-    dealt = members.repartition("node").sortWithinPartitions("node", "n", "bits", "cid").select("node", "cid", "n", "bits", "root")
-    return dealt.mapInPandas(run, "a bigint, b bigint, far bigint, proposed bigint")
+    dealt = members.repartition("node").sortWithinPartitions("node", "cid").select(*MEMBER)
+    return dealt.mapInPandas(run, "kind bigint, a bigint, b bigint")
 
 
-def across_roots(members: DataFrame, threshold: float) -> DataFrame:
-    """a, b, far: all pairs of different roots in the nodes of members that the sketch and the sizes
-    allow. The classes outside a node's most frequent root meet each block of its classes."""
-    sizes = members.groupBy("node", "root").agg(F.count(F.lit(1)).alias("k"))
-    nodes = sizes.groupBy("node").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.ceil(F.sum("k") / BLOCK).alias("parts"))
-    tagged = stash(members.join(nodes, "node"))
-    x = tagged.withColumn("part", F.pmod(F.xxhash64("cid"), "parts"))
-    y = tagged.where("root <> main").select("node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"_{c}") for c in ("cid", "n", "bits", "root")))
-    far = F.bit_count(F.col("bits").bitwiseXOR(F.col("_bits"))).cast("bigint")
-    sized = F.least("n", "_n") >= threshold * F.greatest("n", "_n") - 1e-9
-    once = (F.col("root") == F.col("main")) | (F.col("cid") < F.col("_cid"))
-    pairs = x.join(y, ["node", "part"]).where((F.col("root") != F.col("_root")) & once & sized & (far <= differing(threshold)))
-    return pairs.select(F.least("cid", "_cid").alias("a"), F.greatest("cid", "_cid").alias("b"), far.alias("far"))
-
-
-def proposals(classes: DataFrame, threshold: float, sparse: bool) -> DataFrame:
-    """a, b, far: distinct pairs of classes of different roots that share a node of some tree."""
+def proposals(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The distinct pairs (a, b) and the part memberships (a, b) that the trees yield."""
     members, found = spread_out(classes, BASE, threshold), None
-    for k in range(ROUNDS):
-        got = stash(compare(members, threshold, sparse and k == ROUNDS - 1, sparse))
-        part = got.where("proposed = 1").select("a", "b", "far")
-        found = part if found is None else found.unionByName(part)
-        onward = got.where("proposed = 0").select(F.col("a").alias("cid"), F.col("b").alias("node")).distinct()
-        if not sparse:
-            onward = stash(onward.join(classes.select("cid", "n", "bits", "root"), "cid"))
-            several = onward.groupBy("node").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-            onward = stash(onward.join(several.select("node"), "node", "left_semi").select("node", "cid", "n", "bits", "root"))
+    while True:
+        got = stash(compared(members, threshold))
+        found = got if found is None else found.unionByName(got)
+        onward = got.where(F.col("kind") == ONWARD).select(F.col("a").alias("cid"), F.col("b").alias("node")).distinct()
         if not onward.take(1):
             break
-        if k == ROUNDS - 1:
-            if not sparse:
-                found = found.unionByName(across_roots(onward, threshold))
-            break
-        onward = onward.select("cid", "node")
-        members = spread_out(onward.join(classes, "cid"), STEP, threshold, at="node")
-    return found.groupBy("a", "b").agg(F.min("far").alias("far"))
+        members = spread_out(onward.join(classes, "cid"), STEP, threshold, at=True)
+    of = lambda kind: stash(found.where(F.col("kind") == kind).select("a", "b").distinct())
+    return of(PAIR), of(PART)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "row"), "cid")
+def full_sets(cids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """cid, s (the sorted shingles) of some classes, from the text that stands for each."""
+    need = cids.join(classes.select("cid", "row"), "cid")
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(need, "row").groupBy("row", "cid").agg(F.first("text").alias("text"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"cid": b["cid"], "s": [s.tobytes() for _, s in shingle_sets(b["text"].tolist(), size)]})
 
+    return texts.select("cid", "text").mapInPandas(sets, "cid bigint, s binary")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             keep = []
@@ -287,11 +353,75 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield b.loc[keep, ["a", "b"]]
 
-    full = texts.select("cid", "text").mapInPandas(sets, "cid bigint, s binary")
+    full = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), classes, docs, size)
     both = pairs.select("a", "b").join(full.withColumnRenamed("cid", "a"), "a").join(full.select(F.col("cid").alias("b"), F.col("s").alias("t")), "b")
     return both.select("a", "b", "s", "t").mapInPandas(check, "a bigint, b bigint")
 
 
+class Block:
+    """Classes with their components and full sets, against which others are held one by one."""
+
+    def __init__(self, percent: int):
+        self.percent, self.cids, self.roots, self.sets, self.words, self.up = percent, [], [], [], None, {}
+
+    def find(self, root: int) -> int:
+        while self.up.get(root, root) != root:
+            self.up[root] = root = self.up.get(self.up[root], self.up[root])
+        return root
+
+    def add(self, cid: int, root: int, s: np.ndarray) -> None:
+        self.cids.append(cid)
+        self.roots.append(root)
+        self.sets.append(s)
+
+    def links(self, cid: int, root: int, s: np.ndarray) -> Iterator[tuple[int, int]]:
+        """One link to each component that the class belongs to and has not been joined to."""
+        if self.words is None:
+            self.sizes = np.array([len(x) for x in self.sets])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+            self.words, self.codes = np.unique(np.concatenate(self.sets), return_inverse=True)
+            self.mark = np.zeros(len(self.words), bool)
+        at = np.searchsorted(self.words, s)
+        at = at[self.words[np.minimum(at, len(self.words) - 1)] == s]
+        self.mark[at] = True
+        same = np.add.reduceat(self.mark[self.codes], self.starts, dtype="i8")
+        self.mark[at] = False
+        for k in np.flatnonzero(100 * same >= self.percent * (len(s) + self.sizes - same)):
+            x, y = self.find(root), self.find(self.roots[k])
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+                yield cid, self.cids[k]
+
+
+def across(parts: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: the links that join components within the groups that parts (a, b) make."""
+    members = components(parts).withColumnRenamed("root", "group")
+    members = stash(members.join(classes.select("cid", "n"), "cid").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+    sizes = members.groupBy("group", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    groups = sizes.groupBy("group").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.ceil(F.sum("n") / VOLUME).alias("parts"), F.count(F.lit(1)).alias("roots"))
+    members = stash(members.join(groups.where("roots > 1").drop("roots"), "group"))
+    full = stash(full_sets(members.select("cid"), classes, docs, size))
+    held = members.select("group", F.pmod(F.xxhash64("cid"), "parts").alias("part"), F.lit(0).alias("asks"), "cid", "root")
+    asked = members.where("root <> main").select("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks"), "cid", "root")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, block = None, Block(percent)
+        for b in batches:
+            out = []
+            for group, part, asks, cid, root, s in b.itertuples(index=False, name=None):
+                if (group, part) != at:
+                    at, block = (group, part), Block(percent)
+                s = np.frombuffer(s, "u8")
+                if asks:
+                    out += block.links(cid, root, s) if block.cids else ()
+                else:
+                    block.add(cid, root, s)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    dealt = held.unionByName(asked).join(full, "cid").repartition("group", "part").sortWithinPartitions("group", "part", "asks", "cid")
+    return dealt.select("group", "part", "asks", "cid", "root", "s").mapInPandas(run, "a bigint, b bigint")
+
+
 def components(links: DataFrame) -> DataFrame:
     """cid, root for each end of a link: in each round a node points at its least neighbour, pointers
     are doubled twice, and links move to where their ends point."""
@@ -310,44 +440,19 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
-def joined(rest: DataFrame, links: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The roots after all of rest (a, b, far) whose ends are still in different components are tested."""
-    most = NEAREST
-    while True:
-        here = lambda c: roots.select(F.col("cid").alias(c), F.col("root").alias(f"_{c}"))
-        split = rest.join(here("a"), "a", "left").join(here("b"), "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
-        rest = stash(split.select("a", "b", "far"))
-        if not rest.take(1):
-            return roots
-        best = F.row_number().over(Window.partitionBy("c").orderBy("far", "a", "b"))
-        ends = rest.select("far", "a", "b", F.explode(F.array("a", "b")).alias("c"))
-        now = stash(ends.withColumn("k", best).where(F.col("k") <= most).select("a", "b").distinct())
-        links = stash(links.unionByName(confirmed(now, classes, docs, size, percent)))
-        roots, rest, most = components(links), rest.join(now, ["a", "b"], "left_anti"), most * 8
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, row (hash of doc_id and text), n_shingles, component_id, kept for each row of docs
     (doc_id, text): size words a shingle, links at percent of the union."""
     docs, threshold = docs.select("doc_id", "text"), percent / 100
     rows = stash(sketch(docs, size))
-    classes = stash(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("low"), F.min_by("row", F.struct("doc_id", "row")).alias("row"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits")))
-    pairs = stash(proposals(classes.withColumn("root", F.col("cid")), threshold, True))
-    ends = pairs.select("far", "a", "b", F.explode(F.array("a", "b")).alias("c"))
-    best = F.row_number().over(Window.partitionBy("c").orderBy("far", "a", "b"))
-    tried = stash(ends.withColumn("k", best).where(F.col("k") <= NEAREST).select("a", "b").distinct())
-    links = stash(confirmed(tried, classes, docs, size, percent))
+    firsts = (F.first(c).alias(c) for c in ("n", "tokens", *SKETCH))
+    classes = stash(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("low"), F.min_by("row", F.struct("doc_id", "row")).alias("row"), *firsts))
+    pairs, parts = proposals(classes, threshold)
+    links = stash(confirmed(pairs, classes, docs, size, percent))
     roots = components(links)
-    here = lambda c: roots.select(F.col("cid").alias(c), F.col("root").alias(f"_{c}"))
-    across = pairs.join(here("a"), "a", "left").join(here("b"), "b", "left").withColumns({"_a": F.coalesce("_a", "a"), "_b": F.coalesce("_b", "b")}).where("_a <> _b").join(tried, ["a", "b"], "left_anti")
-    nearest = across.select("far", "a", "b", F.explode(F.array("_a", "_b")).alias("_c")).groupBy("_c").agg(F.min(F.struct("far", "a", "b")).alias("x"))
-    more = stash(nearest.select("x.a", "x.b").distinct())
-    if more.take(1):
-        links = stash(links.unionByName(confirmed(more, classes, docs, size, percent)))
-        roots = components(links)
-    grouped = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    rest = proposals(grouped, threshold, False).join(tried.unionByName(more), ["a", "b"], "left_anti")
-    roots = joined(stash(rest), links, roots, classes, docs, size, percent)
+    if parts.take(1):
+        more = stash(across(parts, roots, classes, docs, size, percent))
+        roots = components(links.unionByName(more)) if more.take(1) else roots
     low = classes.select("cid", "low").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = low.join(low.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("cid", "component_id")
     out = rows.select("doc_id", "row", F.col("n").alias("n_shingles"), "cid").join(named, "cid", "left")
