@@ -4,14 +4,16 @@ A linear classifier turns each text into evidence of its own. Sites then speak f
 documents: evidence is averaged by host and by path within host in grouped aggregation, a
 host's mean is shrunk toward the global one and a path's toward its host's, each with a
 strength that the spread between groups sets (method of moments), so sparse sites stay near
-the prior. A document's posterior log-odds are its own evidence plus what its path's
-posterior adds to the global prior. Site rows are salted before they meet the documents, so
-a host with a third of all rows is split over tasks.
+the prior. A document's posterior log-odds are its own evidence plus what the posterior of its path, from
+the other documents there, adds to the global prior; a document alone at its site keeps its own evidence. Sites of a
+1/HOT of all rows or more, HOT of them at most, are broadcast to the documents, so a
+host with a third of all rows is not one task's.
 
 The classifier is fitted on at most FIT_ROWS labelled rows (those with the smallest
 hashes of doc_id and text); everything else covers all rows. Defined results: null text counts as empty and an
 empty text has zero features; null host or path is a group of its own; without labels of
-both kinds every score is 0.5 and is kept; repeated rows are scored row by row.
+both kinds every score is 0.5 and is kept; repeated rows are scored row by row; an empty table gives
+none; extra columns are passed over.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, hash_sample, stash, table
+from .common import DOCUMENT_COLUMNS, hash_sample, hot_join, stash, table
 
 FIT_ROWS = 20_000
-SALTS = 16
+HOT = 4096
 KEEP = 0.5
 #: Weight of what the site adds; a document's own text speaks louder than its neighbours.
 SITE_WEIGHT = 0.5
@@ -87,29 +89,33 @@ def logit(c: Column) -> Column:
 
 def strength(groups: DataFrame, mean: str, n: str, around: str) -> Column:
     """How many documents the prior counts for: the binomial spread over the spread between
-    groups (mean minus the prior that it is drawn from), as a scalar subquery."""
-    within = F.sum(F.col(around) * (1 - F.col(around)))
-    between = F.sum(F.greatest(F.lit(0.0), F.pow(F.col(mean) - F.col(around), 2) - F.col(around) * (1 - F.col(around)) / F.col(n)))
-    return groups.agg(F.least(F.lit(1e4), F.greatest(F.lit(1.0), within / F.greatest(between, F.lit(1e-9)))).alias("k")).scalar()
+    groups (of their means around the prior, less what chance gives), as a scalar subquery."""
+    chance = F.col(around) * (1 - F.col(around))
+    between = F.sum(F.pow(F.col(mean) - F.col(around), 2) - chance / F.col(n))
+    return groups.agg(F.least(F.lit(1e4), F.greatest(F.lit(1.0), F.sum(chance) / F.greatest(between, F.lit(1e-9)))).alias("k")).scalar()
 
 
 def posteriors(df: DataFrame, p: str, host: str, path: str) -> DataFrame:
-    """df with host_posterior, path_posterior and posterior from the evidence in column p."""
-    groups = df.groupBy(F.col(host).alias("_host"), F.col(path).alias("_path")).agg(F.count(F.lit(1)).alias("_n"), F.sum(p).alias("_sum"))
-    groups = stash(groups)
+    """df with host_posterior, path_posterior (both from the other documents) and posterior from the
+    evidence in column p."""
+    site = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\u0000null")) for c in (host, path)))
+    df = df.withColumn("_site", site)
+    groups = stash(df.groupBy("_site", F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("_n"), F.sum(p).alias("_sum")))
     hosts = groups.groupBy("_host").agg(F.sum("_n").alias("_hn"), F.sum("_sum").alias("_hsum"))
     prior = groups.agg(F.coalesce(F.sum("_sum") / F.sum("_n"), F.lit(0.5)).alias("m")).scalar()
     hosts = hosts.withColumn("_prior", prior).withColumn("_hmean", F.col("_hsum") / F.col("_hn"))
-    k = strength(hosts, "_hmean", "_hn", "_prior")
-    hosts = hosts.withColumn("host_posterior", (k * F.col("_prior") + F.col("_hsum")) / (k + F.col("_hn")))
-    paths = groups.alias("g").join(hosts.select(F.col("_host").alias("_h2"), "_prior", "host_posterior"), F.col("_host").eqNullSafe(F.col("_h2"))).withColumn("_mean", F.col("_sum") / F.col("_n"))
-    k = strength(paths, "_mean", "_n", "host_posterior")
-    paths = paths.withColumn("path_posterior", (k * F.col("host_posterior") + F.col("_sum")) / (k + F.col("_n")))
-    sites = paths.select("_host", "_path", "_prior", "host_posterior", "path_posterior", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    dealt = df.withColumn("_salt2", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    out = dealt.join(sites, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")) & (F.col("_salt") == F.col("_salt2")))
+    hosts = hosts.withColumn("_hk", strength(hosts, "_hmean", "_hn", "_prior"))
+    shrunk = lambda k, around, total, n: (F.col(k) * F.col(around) + total) / (F.col(k) + n)
+    hosts = hosts.withColumn("_hpost", shrunk("_hk", "_prior", F.col("_hsum"), F.col("_hn"))).withColumnRenamed("_host", "_host2")
+    paths = groups.join(hosts, F.col("_host").eqNullSafe(F.col("_host2"))).withColumn("_mean", F.col("_sum") / F.col("_n"))
+    paths = paths.withColumn("_pk", strength(paths, "_mean", "_n", "_hpost"))
+    paths = stash(paths.select("_site", "_n", "_sum", "_hn", "_hsum", "_prior", "_hk", "_pk"))
+    paths = paths.withColumn("_hot", F.col("_n") * HOT >= paths.agg(F.sum("_n").alias("n")).scalar())
+    out = hot_join(df, paths, "_site", "_hot", ["_k"])
+    out = out.withColumn("host_posterior", shrunk("_hk", "_prior", F.col("_hsum") - F.col(p), F.col("_hn") - 1))
+    out = out.withColumn("path_posterior", shrunk("_pk", "host_posterior", F.col("_sum") - F.col(p), F.col("_n") - 1))
     total = logit(F.col(p)) + SITE_WEIGHT * (logit(F.col("path_posterior")) - logit(F.col("_prior")))
-    return out.withColumn("posterior", 1 / (1 + F.exp(-total))).drop("_host", "_path", "_salt", "_salt2", "_prior")
+    return out.withColumn("posterior", 1 / (1 + F.exp(-total))).select(*df.drop("_site").columns, "host_posterior", "path_posterior", "posterior")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
