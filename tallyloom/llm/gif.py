@@ -1,13 +1,16 @@
 """Media columns: GIF files in binary columns, written and decoded with numpy.
 
-The decoder reads any GIF87a/89a: LZW code streams (variable width, deferred clears),
-global and local palettes, interlacing, transparency, disposal 0-3 and frame delays. A
-stream in which only literals and clears occur at one width (as ``encode`` writes it) is
-unpacked as an array; any other stream goes through the code table.
+The encoder compresses with LZW: the longest known string at each place is a code, codes grow
+from 9 to 12 bits, and a full table is cleared. Its palette is a colour cube, three bits of red
+and green and two of blue, so each byte value has a colour of its own. The decoder reads any GIF87a/89a:
+LZW code streams (variable width, deferred clears), global and local palettes, interlacing, transparency,
+disposal 0-3 and frame delays; a payload is read back from the colours of the rendered
+frames.
 
 Defined results: null or empty payloads are stored as 64 zero bytes by ``store_texts``;
-a null or broken file decodes to null columns; repeated rows are decoded row by row;
-payloads above a frame's size go on in further timed frames.
+a null or broken file (a stream that ends before its frame is full, too) decodes to null columns,
+and so does one whose frame or canvas claims more than MAX_PIXELS pixels; repeated rows are decoded
+row by row; payloads above a frame's size go on in further timed frames.
 """
 
 from __future__ import annotations
@@ -27,43 +30,66 @@ from .common import table
 WIDTH = 64
 ROWS = 4096  # of a frame; a longer payload takes several
 DELAY_CS = 4
-GREYS = bytes(x for v in range(256) for x in (v, v, v))
-RUN = 248  # literals between two clears, so that codes stay 9 bits wide
-
-
-def pack9(codes: np.ndarray) -> bytes:
-    """Codes of 9 bits, lowest bit first."""
-    n = len(codes)
-    c = np.zeros((-(-n // 8), 8), "u2")
-    c.reshape(-1)[:n] = codes
-    out = np.empty((len(c), 9), "u1")
-    out[:, 0] = c[:, 0] & 255
-    for k in range(1, 8):
-        out[:, k] = (c[:, k - 1] >> (9 - k) | c[:, k] << k) & 255
-    out[:, 8] = c[:, 7] >> 1
-    return out.tobytes()[: -(-n * 9 // 8)]
-
-
-def unpack9(data: bytes) -> np.ndarray:
-    n = len(data) * 8 // 9
-    b = np.zeros((-(-len(data) // 9), 9), "u2")
-    b.reshape(-1)[: len(data)] = np.frombuffer(data, "u1")
-    out = np.empty((len(b), 8), "u2")
-    for k in range(8):
-        out[:, k] = (b[:, k] >> k | b[:, k + 1] << (8 - k)) & 511
-    return out.reshape(-1)[:n]
-
-
-def literal_codes(indices: np.ndarray) -> np.ndarray:
-    """256 (clear) before each run of literals, 257 (end) at last."""
-    n = len(indices)
-    runs = max(1, -(-n // RUN))
-    grid = np.zeros((runs, RUN + 1), "u2")
-    grid[:, 0] = 256
-    body = np.zeros(runs * RUN, "u2")
-    body[:n] = indices
-    grid[:, 1:] = body.reshape(runs, RUN)
-    return np.append(grid.reshape(-1)[: n + runs], np.uint16(257))
+CODES = 4096
+#: Bound of the memory that one file may take.
+MAX_PIXELS = 1 << 26
+CUBE = np.stack([np.arange(256) // 32 * 36, np.arange(256) // 4 % 8 * 36, np.arange(256) % 4 * 85], 1).astype("u1")
+
+
+def steps(bits: int) -> list[tuple[int, int]]:
+    """(width, codes) after a clear: how many codes are read at each width; the last has no end."""
+    out, read = [], 0
+    for width in range(bits + 1, 12):
+        upto = max(0, (1 << width) - (1 << bits) - 2) + 1
+        out.append((width, upto - read))
+        read = upto
+    return [*out, (12, 1 << 62)]
+
+
+def lzw_codes(data: bytes) -> list[list[int]]:
+    """The codes of the data between two clears, run after run."""
+    runs, table, run, free = [], {}, [], 258
+    known = table.get
+    word = -1
+    for c in data:
+        if word < 0:
+            word = c
+            continue
+        key = word << 8 | c
+        code = known(key)
+        if code is not None:
+            word = code
+            continue
+        run.append(word)
+        word = c
+        if free < CODES:
+            table[key] = free
+            free += 1
+        else:
+            runs.append(run)
+            run, free = [], 258
+            table.clear()
+    if word >= 0:
+        run.append(word)
+    return [*runs, run]
+
+
+def packed(runs: list[list[int]]) -> bytes:
+    """A clear before each run and the end code at last, lowest bit first."""
+    bits, width = [], 9
+    for k, run in enumerate(runs):
+        bits.append(spelled([256], width))
+        codes, at = (run + [257] if k == len(runs) - 1 else run), 0
+        for width, n in steps(8):
+            bits.append(spelled(codes[at : at + n], width))
+            at += n
+            if at > len(codes):  # the next code, a clear, has this width as well
+                break
+    return np.packbits(np.concatenate(bits), bitorder="little").tobytes()
+
+
+def spelled(codes: list[int], width: int) -> np.ndarray:
+    return (np.array(codes, "u2")[:, None] >> np.arange(width, dtype="u2") & 1).astype("u1").reshape(-1)
 
 
 def blocks(data: bytes) -> bytes:
@@ -80,61 +106,65 @@ def encode(payload: bytes, width: int = WIDTH, rows: int = ROWS, delay_cs: int =
     a positive multiple of width."""
     if not payload or len(payload) % width:
         raise ValueError("the payload must be a positive multiple of the width")
-    data, high = np.frombuffer(payload, "u1"), len(payload) // width
-    out = [b"GIF89a", struct.pack("<HHBBB", width, min(high, rows), 0xF7, 0, 0), GREYS]
+    high = len(payload) // width
+    out = [b"GIF89a", struct.pack("<HHBBB", width, min(high, rows), 0xF7, 0, 0), CUBE.tobytes()]
     for top in range(0, high, rows):
         n = min(rows, high - top)
-        codes = literal_codes(data[top * width : (top + n) * width])
-        out += [b"!\xf9\x04\x04", struct.pack("<HB", delay_cs, 0), b"\0,", struct.pack("<HHHHB", 0, 0, width, n, 0), b"\x08", blocks(pack9(codes))]
+        body = packed(lzw_codes(payload[top * width : (top + n) * width]))
+        out += [b"!\xf9\x04\x04", struct.pack("<HB", delay_cs, 0), b"\0,", struct.pack("<HHHHB", 0, 0, width, n, 0), b"\x08", blocks(body)]
     return b"".join([*out, b";"])
 
 
-def lzw(data: bytes, bits: int, n: int) -> np.ndarray:
-    """The indices of a code stream; n of them are expected, fewer are filled with 0."""
-    out = np.zeros(n, "u1")
-    if bits == 8:
-        codes = unpack9(data)
-        ends = np.flatnonzero(codes == 257)
-        codes = codes[: ends[0]] if len(ends) else codes
-        clears = np.flatnonzero(codes == 256)
-        if not (codes > 257).any() and np.diff(np.r_[-1, clears, len(codes)]).max(initial=0) <= 255:
-            got = codes[codes < 256][:n]
-            out[: len(got)] = got
-            return out
-    clear, parts, held, have = 1 << bits, [], 0, 0
-    start = [bytes([k]) for k in range(clear)] + [b"", b""]
-    words, size, last, made = list(start), bits + 1, None, 0
-    for byte in data:
-        held |= byte << have
-        have += 8
-        while have >= size:
-            code, held, have = held & (1 << size) - 1, held >> size, have - size
-            if code == clear:
-                words, size, last = list(start), bits + 1, None
-                continue
-            if code == clear + 1 or made >= n:
-                have = -1 << 30
+def unpacked(bits: np.ndarray, first: int) -> Iterator[list[int]]:
+    """The codes of each run that a clear opens, without clears; the last run ends at the end code."""
+    clear, at, end = 1 << first, 0, False
+    while not end:
+        run, cut = [], False
+        for width, n in steps(first):
+            n = min(n, (len(bits) - at) // width)
+            codes = bits[at : at + n * width].reshape(n, width) @ (1 << np.arange(width))
+            marks = np.flatnonzero((codes == clear) | (codes == clear + 1))
+            if len(marks):
+                cut, end = True, codes[marks[0]] == clear + 1
+                codes, n = codes[: marks[0]], marks[0] + 1
+            run.append(codes)
+            at += n * width
+            if cut:
+                break
+            if len(bits) - at < width:
+                end = True
                 break
+        yield np.concatenate(run).tolist()
+
+
+def lzw(data: bytes, first: int, n: int) -> np.ndarray:
+    """The n indices of a code stream whose colours have this many bits."""
+    if not 1 <= first <= 11 or n > MAX_PIXELS:
+        raise ValueError("a frame or its code size is too large")
+    clear, parts, made = 1 << first, [], 0
+    start = [bytes([k & 255]) for k in range(clear)] + [b"", b""]
+    for run in unpacked(np.unpackbits(np.frombuffer(data, "u1"), bitorder="little"), first):
+        words, last = list(start), None
+        for code in run:
             if last is None:
                 if code >= clear:
-                    raise ValueError("the stream starts with a code that is not in the table")
+                    raise ValueError("a run starts with a code that is not in the table")
                 word = words[code]
             else:
-                if code > len(words):
+                if code < len(words):
+                    word = words[code]
+                elif code == len(words) < CODES:
+                    word = last + last[:1]
+                else:
                     raise ValueError("a code is beyond the table")
-                word = words[code] if code < len(words) else last + last[:1]
-                if len(words) < 4096:
+                if len(words) < CODES:
                     words.append(last + word[:1])
-            if len(words) == 1 << size and size < 12:
-                size += 1
             last = word
             parts.append(word)
             made += len(word)
-        if have < 0:
-            break
-    got = np.frombuffer(b"".join(parts), "u1")[:n]
-    out[: len(got)] = got
-    return out
+            if made >= n:
+                return np.frombuffer(b"".join(parts), "u1")[:n]
+    raise ValueError("the stream ends before the frame is full")
 
 
 def frames(gif: bytes) -> Iterator[dict]:
@@ -184,6 +214,8 @@ def frames(gif: bytes) -> Iterator[dict]:
 def rendered(gif: bytes) -> Iterator[tuple[dict, np.ndarray]]:
     """Each frame with the RGBA canvas on which it is shown."""
     w, h = struct.unpack("<HH", gif[6:10])
+    if w * h > MAX_PIXELS:
+        raise ValueError("the canvas is too large")
     canvas = np.zeros((h, w, 4), "u1")
     for f in frames(gif):
         box = np.s_[f["top"] : f["top"] + f["height"], f["left"] : f["left"] + f["width"]]
@@ -191,7 +223,7 @@ def rendered(gif: bytes) -> Iterator[tuple[dict, np.ndarray]]:
         part = canvas[box]
         px = f["indices"][: part.shape[0], : part.shape[1]]
         seen = np.ones(px.shape, bool) if f["transparent"] is None else px != f["transparent"]
-        colours = f["palette"] if f["palette"] is not None else np.frombuffer(GREYS, "u1").reshape(-1, 3)
+        colours = f["palette"] if f["palette"] is not None else np.stack([np.arange(256)] * 3, 1).astype("u1")
         rgb = colours[np.minimum(px, len(colours) - 1)]
         part[seen] = np.concatenate([rgb, np.full((*px.shape, 1), 255, "u1")], 2)[seen]
         yield f, canvas.copy()
@@ -223,20 +255,27 @@ def store_texts(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     return df.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInPandas(run, f"key {kind}, n_bytes bigint, media binary").withColumnRenamed("key", key)
 
 
+def timed_frames(gif: bytes) -> Iterator[tuple[dict, np.ndarray]]:
+    """Each frame's row of FRAMES and the canvas that it shows."""
+    start = 0
+    for k, (f, rgba) in enumerate(rendered(gif)):
+        yield {"frame_no": k, "start_cs": start, "delay_cs": f["delay_cs"], "disposal": f["disposal"], "width": f["width"], "height": f["height"], "colours": histogram(rgba)}, rgba[f["top"] : f["top"] + f["height"], f["left"] : f["left"] + f["width"]]
+        start += f["delay_cs"]
+
+
+BROKEN = (ValueError, IndexError, struct.error, TypeError)
+
+
 def decode_frames(df: DataFrame, media: str = "media") -> DataFrame:
     """df with ``frames``: the timed frames of each file with the colour histogram of the
-    canvas that each shows; null for a null or broken file."""
+    canvas that each shows; null for a null or broken file. A column of that name is replaced."""
 
     @F.pandas_udf(FRAMES)
     def run(col: pd.Series) -> pd.Series:
         def one(gif):
             try:
-                out, start = [], 0
-                for k, (f, rgba) in enumerate(rendered(bytes(gif))):
-                    out.append({"frame_no": k, "start_cs": start, "delay_cs": f["delay_cs"], "disposal": f["disposal"], "width": f["width"], "height": f["height"], "colours": histogram(rgba)})
-                    start += f["delay_cs"]
-                return out
-            except (ValueError, IndexError, struct.error, TypeError):
+                return [row for row, _ in timed_frames(bytes(gif))]
+            except BROKEN:
                 return None
 
         return col.map(one)
@@ -244,20 +283,32 @@ def decode_frames(df: DataFrame, media: str = "media") -> DataFrame:
     return df.withColumn("frames", run(df[media]))
 
 
+def payload_of(shown: np.ndarray) -> bytes:
+    """The bytes whose colours of the cube a canvas shows."""
+    r, g, b = (shown[..., k] for k in range(3))
+    return (r // 36 << 5 | g // 36 << 2 | b // 85).astype("u1").tobytes()
+
+
 def read_payloads(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The payload that each stored file holds, read back as digests, with a feature that
-    says how its grey levels are spread."""
+    """The payload that each stored file shows, read back from its rendered frames as digests, with
+    a feature: frames, hundredths of a second, and the colours' counts, colour:count. A file that is
+    broken has nulls."""
+
+    def one(gif) -> tuple:
+        try:
+            found = [(row, payload_of(shown)) for row, shown in timed_frames(bytes(gif))]
+        except BROKEN:
+            return None, None, None, None, None, None
+        payload = b"".join(x for _, x in found)
+        colours = np.sum([row["colours"] for row, _ in found], 0)
+        feature = f"{len(found)}f{sum(row['delay_cs'] for row, _ in found)}cs:" + "-".join(f"{k}:{n}" for k, n in enumerate(colours.tolist()) if n)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(gif), hashlib.sha256(gif).hexdigest(), feature
 
     def run(batches):
         for b in batches:
-            out = []
-            for gif in b["media"]:
-                found = [(f["indices"], f["palette"], f["delay_cs"]) for f in frames(gif)]
-                payload = b"".join(i.tobytes() for i, _, _ in found)
-                levels = np.bincount(np.frombuffer(payload, "u1") >> 4, minlength=16)
-                feature = f"{len(found)}f{sum(d for *_, d in found)}cs:" + "-".join(map(str, levels.tolist()))
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(gif), hashlib.sha256(gif).hexdigest(), feature))
-            yield pd.concat([b[["key", "n_bytes"]], pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"], index=b.index)], axis=1)
+            out = pd.DataFrame([one(gif) for gif in b["media"]], columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"], index=b.index)
+            numbers = ["payload_bytes", "tail_crc32", "media_bytes"]
+            yield pd.concat([b[["key", "n_bytes"]], out.astype(dict.fromkeys(numbers, "Int64"))], axis=1)
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
