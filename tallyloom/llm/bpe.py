@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -130,12 +130,23 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(read_ranks(path), pattern)
 
 
-def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", keep_ids: bool = True) -> DataFrame:
+def public_path(name: str) -> Callable[[], str]:
+    """Finds a public vocabulary where it is read, on each executor."""
+
+    def find() -> str:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+
+    return find
+
+
+def encode_documents(df: DataFrame, path: str | Callable[[], str], pattern: str, text: str = "text", key: str = "doc_id", keep_ids: bool = True) -> DataFrame:
     """key, n_tokens, ids (array, if kept), ids_sha256, decoded_sha256: the ids of each
-    text, decoded again. path must lead to the vocabulary on every executor."""
+    text, decoded again. path leads to the vocabulary on every executor, or finds it there."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(path, pattern)
+        c = codec(path if isinstance(path, str) else path(), pattern)
         for b in batches:
             ids = [c.encode(t or "") for t in b["text"]]
             out = {
@@ -154,7 +165,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text: str = "text",
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+    return encode_documents(table(spark, sf_dir, "documents"), public_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
 QUERIES = {"op10_byte_bpe": op10_byte_bpe}
