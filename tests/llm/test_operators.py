@@ -56,11 +56,10 @@ def test_gif_round_trip_and_frames(spark):
 
 def test_gif_disposal_and_transparency():
     def frame(indices, disposal, clear=None):
-        codes = gif.literal_codes(np.array(indices, "u1"))
         flags = disposal << 2 | (clear is not None)
-        return b"!\xf9\x04" + bytes([flags, 3, 0, clear or 0]) + b"\0," + bytes([0, 0, 0, 0, 2, 0, 2, 0, 0, 8]) + gif.blocks(gif.pack9(codes))
+        return b"!\xf9\x04" + bytes([flags, 3, 0, clear or 0]) + b"\0," + bytes([0, 0, 0, 0, 2, 0, 2, 0, 0, 8]) + gif.blocks(gif.packed(gif.lzw_codes(bytes(indices))))
 
-    head = b"GIF89a" + bytes([2, 0, 2, 0, 0xF7, 0, 0]) + gif.GREYS
+    head = b"GIF89a" + bytes([2, 0, 2, 0, 0xF7, 0, 0]) + bytes(x for v in range(256) for x in (v, v, v))
     shown = [c[..., 0].reshape(-1).tolist() for _, c in gif.rendered(head + frame([1, 2, 3, 4], 1) + frame([9, 7, 9, 9], 3, clear=9) + frame([9, 9, 5, 9], 2, clear=9) + frame([9, 9, 9, 6], 0, clear=9) + b";")]
     assert shown == [[1, 2, 3, 4], [1, 7, 3, 4], [1, 2, 5, 4], [0, 0, 0, 6]]
 
@@ -241,5 +240,19 @@ def test_pipeline_steps_agree_with_brute_force(spark):
     assert not any(a in seen[2] and b in seen[2] for a, b in linked)
     assert set(seen[1]) - set(seen[2]) <= {k for pair in linked for k in pair}
     want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
-    got = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, SF).collect()}
-    assert got == {k: len(want.encode_ordinary(t)) for k, t in seen[3].items()}
+    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == {k: want.encode_ordinary(t) for k, t in seen[3].items()}
+    sites, first = {}, {}
+    kept = [r for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect() if r["doc_id"] in seen[0]]
+    for r in kept:
+        for i, x in enumerate(r["text"].split("\n")):
+            sites.setdefault(x.strip(), set()).add(r["source"])
+            first.setdefault(x.strip(), (r["doc_id"], i))
+    stays = lambda r, i, x: not x.strip() or len(sites[x.strip()]) < lines.MIN_SITES or first[x.strip()] == (r["doc_id"], i)
+    cleaned = {r["doc_id"]: "\n".join(x for i, x in enumerate(r["text"].split("\n")) if stays(r, i, x)) for r in kept}
+    assert seen[1] == {k: t for k, t in cleaned.items() if t.strip() or t == seen[0][k]}
+    items = [contamination.hashed(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    holds = lambda t: any(contamination.edit_span(x, contamination.hashed(t))[0] <= contamination.limit(len(x)) for x in items)
+    assert set(seen[3]) == {k for k, t in seen[2].items() if not holds(t)}
+    judged = {r["doc_id"]: r["kept"] for r in quality.score_quality(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    assert set(seen[0]) == {k for k, keep in judged.items() if keep}
