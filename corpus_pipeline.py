@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and reread as the next stage's docs. The query belongs to subpackage llm.
+
+Defined results: what each operator states for nulls, empty and long texts, ties and repeated rows holds for its
+stage. Rows that repeat both doc_id and text share every decision; near_duplicates keeps one
+of them. A null text has no evidence (its posterior decides), loses no line, is near nothing,
+holds no benchmark item and has no ids. An empty table stays empty; extra columns go in the first stage.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm.bpe import encode_documents
+from tallyloom.llm.bpe import encode_documents, public_path
 from tallyloom.llm.common import stash, table
 from tallyloom.llm.contamination import decontamination_stage
 from tallyloom.llm.lines import line_stage
@@ -18,7 +23,8 @@ from tallyloom.llm.quality import quality_stage
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+    """doc_id, n_tokens, the ids, and digests of the ids and of the bytes decoded from them."""
+    return encode_documents(docs, public_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
