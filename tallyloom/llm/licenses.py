@@ -1,8 +1,8 @@
 """License scan by diagonal voting, in DataFrame functions alone.
 
 Every rolling word k-gram of every text is hashed and joined to the k-grams of the license
-templates (a table of at most MAX_WORDS words, broadcast); the words of a match are compared
-as well. A match votes for the diagonal place minus template place; votes are summed by
+templates (a table of at most MAX_WORDS words, broadcast); the first and the last word of
+a match are compared as well, so a run of matches is compared word by word. A match votes for the diagonal place minus template place; votes are summed by
 diagonal, diagonals at most SLACK apart are merged, and the span of a merged run is verified by its
 words: it must hold LEAST words of the template in all (or the whole template, if that is shorter), COVER of
 the words between its ends, and the words that tell the template from its neighbours, together in one k-gram. Base phrases are templates whose whole
@@ -110,12 +110,8 @@ def gram(words: Column, i: Column) -> Column:
     return F.xxhash64(*(F.get(words, i + j) for j in range(K)))
 
 
-def spelled(words: Column, i: Column) -> Column:
-    return F.concat_ws(" ", *(F.get(words, i + j) for j in range(K)))
-
-
 def template_grams(spark: SparkSession, base=BASE, templates=TEMPLATES) -> DataFrame:
-    """_h, _t, _tpos, _gram, _words, _must, _base, _label: a row for each k-gram of a template; _must
+    """_h, _t, _tpos, _first, _last, _words, _must, _base, _label: a row for each k-gram of a template; _must
     are the places of the words that must be there."""
     rows = []
     for n, (phrase, label, *must) in enumerate([*base, *templates]):
@@ -129,19 +125,19 @@ def template_grams(spark: SparkSession, base=BASE, templates=TEMPLATES) -> DataF
     schema = T.StructType([T.StructField("_t", T.IntegerType()), T.StructField("_w", T.ArrayType(T.StringType())), T.StructField("_label", T.StringType()), T.StructField("_base", T.BooleanType()), T.StructField("_must", T.ArrayType(T.IntegerType()))])
     df = spark.createDataFrame(rows, schema).withColumn("_words", F.size("_w"))
     df = df.withColumn("_tpos", F.explode(F.sequence(F.lit(0), F.col("_words") - K)))
-    return df.select(gram(F.col("_w"), F.col("_tpos")).alias("_h"), "_t", "_tpos", spelled(F.col("_w"), F.col("_tpos")).alias("_gram"), "_words", "_must", "_base", "_label")
+    return df.select(gram(F.col("_w"), F.col("_tpos")).alias("_h"), "_t", "_tpos", F.get("_w", "_tpos").alias("_first"), F.get("_w", F.col("_tpos") + K - 1).alias("_last"), "_words", "_must", "_base", "_label")
 
 
 def scan_spans(df: DataFrame, text: str = "text", key: str = "doc_id", base=BASE, templates=TEMPLATES) -> DataFrame:
     """Verified spans: _row, _key, _n (words), _t, _base, _label, _cover, _from, _to (words from 0,
     both included); a row without a span has one line with null _t."""
     docs = df.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), words_of(F.col(text)).alias("_w")).withColumn("_n", F.size("_w"))
-    grams = F.transform(F.sequence(F.lit(0), F.col("_n") - K), lambda i: F.struct(i.alias("p"), gram(F.col("_w"), i).alias("h"), spelled(F.col("_w"), i).alias("w")))
-    none = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("bigint").alias("h"), F.lit("").alias("w")))
+    grams = F.transform(F.sequence(F.lit(0), F.col("_n") - K), lambda i: F.struct(i.alias("p"), gram(F.col("_w"), i).alias("h"), F.get("_w", i).alias("a"), F.get("_w", i + K - 1).alias("z")))
+    none = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("bigint").alias("h"), F.lit("").alias("a"), F.lit("").alias("z")))
     places = docs.select("_row", "_key", "_n", F.explode(F.when(F.col("_n") >= K, F.concat(none, grams)).otherwise(none)).alias("g"))
-    places = places.select("_row", "_key", "_n", F.col("g.p").alias("_p"), F.col("g.h").alias("_h"), F.col("g.w").alias("_spelled"))
+    places = places.select("_row", "_key", "_n", F.col("g.p").alias("_p"), F.col("g.h").alias("_h"), F.col("g.a").alias("_a"), F.col("g.z").alias("_z"))
     known = F.broadcast(template_grams(df.sparkSession, base, templates))
-    hits = places.join(known, "_h", "left").where((F.col("_p") < 0) | (F.col("_spelled") == F.col("_gram"))).withColumn("_t", F.when(F.col("_p") >= 0, F.col("_t")))
+    hits = places.join(known, "_h", "left").where((F.col("_p") < 0) | ((F.col("_a") == F.col("_first")) & (F.col("_z") == F.col("_last")))).withColumn("_t", F.when(F.col("_p") >= 0, F.col("_t")))
     hits = hits.select("_row", "_key", "_n", "_p", "_t", "_tpos", "_words", "_must", "_base", "_label", (F.col("_p") - F.col("_tpos")).alias("_diag")).repartition("_row")
     whole = ["_row", "_key", "_n", "_t", "_words", "_must", "_base", "_label"]
     diagonals = hits.groupBy(*whole, "_diag").agg(F.collect_set("_tpos").alias("_seen"), F.min("_p").alias("_from"), (F.max("_p") + K - 1).alias("_to"))
