@@ -144,24 +144,25 @@ def lzw(data: bytes, first: int, n: int) -> np.ndarray:
     clear, parts, made = 1 << first, [], 0
     start = [bytes([k & 255]) for k in range(clear)] + [b"", b""]
     for run in unpacked(np.unpackbits(np.frombuffer(data, "u1"), bitorder="little"), first):
-        words, last = list(start), None
-        for code in run:
-            if last is None:
-                if code >= clear:
-                    raise ValueError("a run starts with a code that is not in the table")
-                word = words[code]
-            else:
-                if code < len(words):
+        if run and run[0] >= clear:
+            raise ValueError("a run starts with a code that is not in the table")
+        words, free, last = list(start), clear + 2, b""
+        for at in range(0, len(run), CODES):
+            out = []
+            for code in run[at : at + CODES]:
+                if code < free:
                     word = words[code]
-                elif code == len(words) < CODES:
+                elif code == free < CODES:
                     word = last + last[:1]
                 else:
                     raise ValueError("a code is beyond the table")
-                if len(words) < CODES:
+                if free < CODES and last:
                     words.append(last + word[:1])
-            last = word
-            parts.append(word)
-            made += len(word)
+                    free += 1
+                last = word
+                out.append(word)
+            parts.append(b"".join(out))
+            made += len(parts[-1])
             if made >= n:
                 return np.frombuffer(b"".join(parts), "u1")[:n]
     raise ValueError("the stream ends before the frame is full")
@@ -212,7 +213,7 @@ def frames(gif: bytes) -> Iterator[dict]:
 
 
 def rendered(gif: bytes) -> Iterator[tuple[dict, np.ndarray]]:
-    """Each frame with the RGBA canvas on which it is shown."""
+    """Each frame with the RGBA canvas on which it is shown; the canvas is drawn on by the next frame."""
     w, h = struct.unpack("<HH", gif[6:10])
     if w * h > MAX_PIXELS:
         raise ValueError("the canvas is too large")
@@ -222,11 +223,15 @@ def rendered(gif: bytes) -> Iterator[tuple[dict, np.ndarray]]:
         before = canvas.copy() if f["disposal"] == 3 else None
         part = canvas[box]
         px = f["indices"][: part.shape[0], : part.shape[1]]
-        seen = np.ones(px.shape, bool) if f["transparent"] is None else px != f["transparent"]
         colours = f["palette"] if f["palette"] is not None else np.stack([np.arange(256)] * 3, 1).astype("u1")
-        rgb = colours[np.minimum(px, len(colours) - 1)]
-        part[seen] = np.concatenate([rgb, np.full((*px.shape, 1), 255, "u1")], 2)[seen]
-        yield f, canvas.copy()
+        rgba = np.full((256, 4), 255, "u1")
+        rgba[:, :3] = colours[np.minimum(np.arange(256), len(colours) - 1)]
+        shown = rgba.view("u4")[:, 0][px].view("u1").reshape(*px.shape, 4)
+        if f["transparent"] is None:
+            part[:] = shown
+        else:
+            np.copyto(part, shown, where=(px != f["transparent"])[..., None])
+        yield f, canvas
         if f["disposal"] == 2:
             canvas[box] = 0
         elif f["disposal"] == 3:
@@ -236,8 +241,9 @@ def rendered(gif: bytes) -> Iterator[tuple[dict, np.ndarray]]:
 def histogram(rgba: np.ndarray) -> list[int]:
     """Counts of visible pixels by the two upper bits of red, green and blue: 64 colours."""
     px = rgba.reshape(-1, 4)
-    px = px[px[:, 3] > 0].astype("u2") if (px[:, 3] == 0).any() else px.astype("u2")
-    return np.bincount((px[:, 0] >> 6) * 16 + (px[:, 1] >> 6) * 4 + (px[:, 2] >> 6), minlength=64).tolist()
+    colour = px[:, 0] >> 2 & 48 | px[:, 1] >> 4 & 12 | px[:, 2] >> 6
+    seen = px[:, 3] > 0
+    return np.bincount(colour if seen.all() else colour[seen], minlength=64).tolist()
 
 
 FRAMES = "array<struct<frame_no:int,start_cs:bigint,delay_cs:int,disposal:int,width:int,height:int,colours:array<bigint>>>"
@@ -283,10 +289,12 @@ def decode_frames(df: DataFrame, media: str = "media") -> DataFrame:
     return df.withColumn("frames", run(df[media]))
 
 
+RED, GREEN, BLUE = ((np.arange(256) // n << up).astype("u1") for n, up in ((36, 5), (36, 2), (85, 0)))
+
+
 def payload_of(shown: np.ndarray) -> bytes:
     """The bytes whose colours of the cube a canvas shows."""
-    r, g, b = (shown[..., k] for k in range(3))
-    return (r // 36 << 5 | g // 36 << 2 | b // 85).astype("u1").tobytes()
+    return (RED[shown[..., 0]] | GREEN[shown[..., 1]] | BLUE[shown[..., 2]]).tobytes()
 
 
 def read_payloads(df: DataFrame, key: str = "doc_id") -> DataFrame:
