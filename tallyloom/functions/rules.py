@@ -127,3 +127,230 @@ FLAGS = {
     "management_port": r" management port|mgmt port",
     "console_port": r" console port",
 }
+
+
+# Constraints and products: fixed values.
+
+#: Numeric fields of requirements and products.
+NUMERIC_FIELDS = [
+    "ports", "max_ports", "ipsec_vpn_throughput_gbps", "ngfw_throughput_gbps", "ips_throughput_gbps", "ssl_tls_inspection_gbps", "ssl_vpn_gbps", "threat_protection_gbps",
+    "switching_capacity_gbps", "firewall_throughput_gbps", "throughput_gbps", "concurrent_sessions", "ssl_vpn_users", "connections_per_second", "logs_per_day_gb", "analytic_rate_logs_sec",
+    "collector_rate_logs_sec", "performance_eps", "email_routing_per_hour", "atp_per_hour", "email_domains", "server_mode_mailboxes", "max_devices_vdoms", "max_local_remote_users",
+    "max_user_groups", "max_nas_devices", "max_fortitokens", "policies", "storage_tb", "power_capacity_kw", "power_capacity_kva", "cooling_capacity_kw", "rack_units", "static_load_kg",
+    "sensor_capacity", "outlet_count",
+]
+BOOLEAN_FIELDS = ["ha_supported", "ha_port", "management_port", "console_port", "redundant_power"]
+RANGE_FIELDS = ["power_capacity_kw", "power_capacity_kva", "cooling_capacity_kw"]
+
+#: Fields of a product that stand in for one that it lacks.
+SPEC_ALIASES = {
+    "ipsec_vpn_throughput_gbps": ["vpn_throughput_gbps"],
+    "firewall_throughput_gbps": ["ngfw_throughput_gbps", "throughput_gbps"],
+    "ngfw_throughput_gbps": ["firewall_throughput_gbps", "throughput_gbps"],
+    "switching_capacity_gbps": ["throughput_gbps"],
+    "throughput_gbps": ["switching_capacity_gbps", "ngfw_throughput_gbps"],
+    "connections_per_second": ["cps"],
+    "performance_eps": ["analytic_rate_logs_sec", "collector_rate_logs_sec"],
+    "max_ports": ["ports"],
+}
+
+#: Metadata fields that count interfaces, and which.
+INTERFACE_FIELDS = {
+    "interfaces_1g": "1g_rj45",
+    "interfaces_10g": "10g_sfp_plus",
+    "interfaces_25g": "25g_sfp28",
+    "interfaces_40g": "40g_qsfp_plus",
+    "interfaces_50g": "50g_sfp56",
+    "interfaces_100g": "100g_qsfp28",
+    "interfaces_200g": "200g_qsfp56",
+    "interfaces_400g": "400g_qsfp_dd",
+}
+
+#: Interfaces that serve a required one.
+INTERFACE_COMPATIBILITY = {
+    "1g_rj45": ["1g_rj45", "1_10g_rj45"],
+    "10g_rj45": ["10g_rj45", "1_10g_rj45"],
+    "1_10g_rj45": ["1_10g_rj45", "10g_rj45"],
+    "1g_sfp": ["1g_sfp"],
+    "10g_sfp_plus": ["10g_sfp_plus", "25g_sfp28"],
+    "25g_sfp28": ["25g_sfp28", "50g_sfp56"],
+    "40g_qsfp_plus": ["40g_qsfp_plus", "100g_qsfp28"],
+    "100g_qsfp28": ["100g_qsfp28", "200g_qsfp56", "400g_qsfp_dd"],
+    "200g_qsfp56": ["200g_qsfp56", "400g_qsfp_dd"],
+    "400g_qsfp_dd": ["400g_qsfp_dd"],
+}
+
+#: Speed in Gbps by which a count may have been multiplied.
+INTERFACE_SPEED = {
+    "1g_rj45": 1, "10g_rj45": 10, "1_10g_rj45": 10, "1g_sfp": 1, "10g_sfp_plus": 10, "25g_sfp28": 25, "40g_qsfp_plus": 40, "50g_sfp56": 50, "100g_qsfp28": 100, "200g_qsfp56": 200,
+    "400g_qsfp_dd": 400,
+}
+
+#: Weights of the fit by field; 1 for others.
+FIT_WEIGHTS = {
+    "firewall_throughput_gbps": 1.45, "ngfw_throughput_gbps": 1.55, "ips_throughput_gbps": 1.35, "threat_protection_gbps": 1.35, "ipsec_vpn_throughput_gbps": 1.25,
+    "ssl_tls_inspection_gbps": 1.25, "ssl_vpn_gbps": 1.15, "switching_capacity_gbps": 1.45, "throughput_gbps": 1.35, "concurrent_sessions": 1.15, "connections_per_second": 1.10,
+    "ports": 1.20, "max_ports": 1.20, "interfaces": 1.35, "storage_tb": 0.90,
+}
+GENERIC_HA_MODES = ["active-passive", "active-active", "clustering"]
+#: Fields whose logarithms say how large a product is if its name holds no number.
+SCALE_FIELDS = ["firewall_throughput_gbps", "ipsec_vpn_throughput_gbps", "ngfw_throughput_gbps", "ips_throughput_gbps", "concurrent_sessions", "ssl_vpn_users"]
+
+#: Names of categories, in lower case with underscores, and the category.
+CATEGORY_ALIASES = {
+    "ngfw": "NGFW", "next_generation_firewall": "NGFW", "firewall": "NGFW", "datacenter_switch": "DATACENTER_SWITCH", "data_center_switch": "DATACENTER_SWITCH",
+    "access_switch": "ACCESS_SWITCH", "switch": "SWITCH", "switching": "SWITCH", "adc": "ADC", "waf": "WAF", "centralized_management": "CENTRALIZED_MANAGEMENT",
+    "management": "CENTRALIZED_MANAGEMENT", "logging": "LOGGING", "hardware_logging": "LOGGING", "log_reporting": "LOGGING", "fortilogger": "LOGGING", "siem_soc": "SIEM_SOC",
+    "siem": "SIEM_SOC", "soc": "SIEM_SOC", "ndr": "NDR", "endpoint_security": "ENDPOINT_SECURITY", "endpoint": "ENDPOINT_SECURITY", "identity_access": "IDENTITY_ACCESS",
+    "identity_and_access": "IDENTITY_ACCESS", "pam": "PAM", "sandbox": "SANDBOX", "fortisandbox": "SANDBOX", "email_security": "EMAIL_SECURITY", "email": "EMAIL_SECURITY",
+    "mail_security": "EMAIL_SECURITY", "nac": "NAC", "network_access_control": "NAC", "deception": "DECEPTION", "soar": "SOAR", "sase": "SASE",
+    "secure_web_gateway": "SECURE_WEB_GATEWAY", "swg": "SECURE_WEB_GATEWAY", "ddos_mitigation": "DDOS_MITIGATION", "ddos": "DDOS_MITIGATION",
+    "digital_risk_protection": "DIGITAL_RISK_PROTECTION", "network_performance_monitoring": "NETWORK_PERFORMANCE_MONITORING", "ai_network_operations": "AI_NETWORK_OPERATIONS",
+    "cloud_security": "CLOUD_SECURITY", "wan_extender": "WAN_EXTENDER", "voip_security": "VOIP_SECURITY", "video_security": "VIDEO_SECURITY", "routing": "ROUTER", "router": "ROUTER",
+    "sdn_automation": "SDN_AUTOMATION", "automation": "SDN_AUTOMATION", "ups": "UPS", "uninterruptible_power_supply": "UPS", "cooling": "COOLING", "precision_cooling": "COOLING",
+    "row_cooling": "COOLING", "pdu": "RACK_PDU", "rack_pdu": "RACK_PDU", "power_distribution": "POWER_DISTRIBUTION", "containment": "CONTAINMENT", "rack": "RACK",
+    "monitoring": "MONITORING", "fire_suppression": "FIRE_SUPPRESSION", "fire_detection": "FIRE_DETECTION", "fire_alarm": "FIRE_ALARM", "camera": "CAMERA", "display": "DISPLAY",
+}
+
+#: Categories of products that may serve a required one, where that is more than the category itself.
+SERVING = {
+    "SWITCH": ["DATACENTER_SWITCH", "ACCESS_SWITCH", "SWITCH"],
+    "DATACENTER_SWITCH": ["DATACENTER_SWITCH", "SWITCH"],
+    "ACCESS_SWITCH": ["ACCESS_SWITCH", "SWITCH"],
+    "CENTRALIZED_MANAGEMENT": ["CENTRALIZED_MANAGEMENT", "SIEM_SOC"],
+}
+#: Further groups by provider, within which any category serves any other.
+SERVING_GROUPS = {
+    "juniper": [["ROUTER", "SDWAN_ROUTER"], ["DATACENTER_SWITCH", "ACCESS_SWITCH", "SWITCH"], ["WIRELESS_AP", "CENTRALIZED_MANAGEMENT"]],
+    "vertiv": [["RACK", "ENCLOSURE", "INTEGRATED_RACK_SOLUTION"], ["COOLING", "COOLING_CONTROL"], ["POWER_DISTRIBUTION", "TRANSFER_SWITCH", "BUSWAY"], ["MONITORING", "SERIAL_CONSOLE", "KVM", "SOFTWARE"]],
+}
+#: Categories for which both network vendors are asked.
+TWO_VENDORS = ["NGFW", "SWITCH", "DATACENTER_SWITCH", "ACCESS_SWITCH", "ROUTER"]
+NETWORK_VENDORS = ["Fortinet", "Juniper"]
+
+#: Any of these makes a requirement one for logging.
+LOG_FIELDS = ["logs_per_day_gb", "analytic_rate_logs_sec", "collector_rate_logs_sec", "performance_eps"]
+#: Fields of controllers and services that say nothing of a firewall.
+CONTROLLER_FIELDS = [
+    "logs_per_day_gb", "analytic_rate_logs_sec", "collector_rate_logs_sec", "performance_eps", "email_routing_per_hour", "atp_per_hour", "email_domains", "server_mode_mailboxes",
+    "max_devices_vdoms", "max_local_remote_users", "max_user_groups", "max_nas_devices", "max_fortitokens",
+]
+#: Labels before a throughput.
+LABELLED = {
+    "ngfw_throughput_gbps": r"(?:next\s+generation\s+firewall|ngfw)\s+throughput",
+    "firewall_throughput_gbps": r"(?<!generation\s)firewall\s+throughput",
+    "ips_throughput_gbps": r"\bips\s+throughput",
+    "threat_protection_gbps": r"threat\s+protection\s+throughput",
+    "ssl_tls_inspection_gbps": r"ssl\s*/\s*tls\s+inspection\s+throughput|ssl\s+inspection\s+throughput|tls\s+inspection\s+throughput",
+    "ssl_vpn_gbps": r"ssl[-\s]?vpn\s+throughput",
+    "ipsec_vpn_throughput_gbps": r"ipsec\s+(?:vpn\s+)?throughput",
+}
+#: Users of a VPN, and users to whom a solution scales.
+VPN_USERS = r"(?:ssl[-\s]?vpn|vpn)[^\d]{0,80}(\d[\d,]*)\s*(?:concurrent\s+)?users?\b"
+SCALED_USERS = [
+    r"\b(?:scalable|scale|handle)[^\d]{0,80}(\d[\d,]*)\s*(?:concurrent\s+)?ssl[-\s]?vpn\s+users?\b",
+    r"\b(?:scalable|scale|handle)[^\d]{0,80}(\d[\d,]*)\s*concurrent[^\|.;]{0,40}ssl\s+vpn\s+users?\b",
+]
+SOLUTION_SCALE = r"\b(scalable|scale|license|licence|solution|pr\s+and\s+dr|pdc|sdc|redundant)\b"
+
+#: Where a plain throughput of a firewall goes, by words of its text, in order.
+PROMOTED = [
+    (["ipsec", "ipsec vpn", "ipsec vpn throughput"], "ipsec_vpn_throughput_gbps"),
+    (["ssl vpn", "ssl-vpn"], "ssl_vpn_gbps"),
+    (["ssl", "tls", "inspection", "decrypt"], "ssl_tls_inspection_gbps"),
+    (["ips", "intrusion prevention"], "ips_throughput_gbps"),
+    (["threat"], "threat_protection_gbps"),
+]
+
+#: What names a product outright.
+EXPLICIT_PRODUCT = [
+    r"\b(?:fortigate|fortiswitch|fortimanager|fortianalyzer|fortilogger|fortisiem)\b",
+    r"\bhardware\s+based\s+(?:next\s+generation\s+firewall|firewall|logging|management)\b",
+    r"\b(?:firewall|ngfw)\s+(?:appliance|equipment|hardware|throughput)\b",
+    r"\b(?:remote|central)\s+site\s+(?:equipment|firewall)s?\b",
+    r"\b(?:ssl[-\s]?vpn)\s+(?:users?|throughput|appliance|concurrent)\b",
+    r"\b(?:data\s*center|datacenter|core|access|distribution)\s+switch(?:es)?\b",
+    r"\bswitching\s+capacity\b",
+    r"\b(?:hardware\s+logging|logging\s+appliance|log\s+reporting|log\s+backup|firewall\s+logs?)\b",
+    r"\b(?:centralized|network)\s+management\s+(?:appliance|hardware|solution)\b",
+]
+#: What does so in a row with its sheet, besides.
+EXPLICIT_ROW = [r"\b(?:ips|threat\s+protection|ssl/tls\s+inspection)\s+throughput\b", r"\b(?:sfp\+?|sfp28|qsfp|rj45|ge\s+interfaces?)\b"]
+NARRATIVE_WORDS = r"\b(procurement title|scope of work|delivery schedule|invitation to bid|bidder|eligibility|qualification|support, warranty|warranty, subscription|training|payment terms|general content|misc requirements|notes)\b"
+NARRATIVE = [
+    "procurement title", "scope of work", "delivery schedule", "invitation to bid", "bidder", "eligibility", "qualification", "support, warranty", "warranty, subscription", "training",
+    "project timeline", "payment terms", "general content", "misc requirements", "notes",
+]
+HARDWARE_WORDS = ["hardware", "appliance", "device", "equipment", "logs", "management"]
+SKIPPED_SHEETS = ["qualification", "pre-qualification", "prequalification", "eligibility", "evaluation criteria", "bid evaluation", "financial criteria", "commercial criteria"]
+ADMIN_SHEETS = ["general content", "support", "warranty", "subscription", "misc requirement", "notes"]
+#: Categories that always ask for a reference, and words that do.
+REFERENCED = [
+    "NGFW", "SWITCH", "DATACENTER_SWITCH", "ACCESS_SWITCH", "ROUTER", "CENTRALIZED_MANAGEMENT", "LOGGING", "SIEM_SOC", "NDR", "ENDPOINT_SECURITY", "IDENTITY_ACCESS", "PAM", "SANDBOX",
+    "EMAIL_SECURITY", "NAC", "DECEPTION", "SOAR", "SASE", "SECURE_WEB_GATEWAY", "DDOS_MITIGATION", "DIGITAL_RISK_PROTECTION", "NETWORK_PERFORMANCE_MONITORING", "AI_NETWORK_OPERATIONS",
+    "CLOUD_SECURITY", "WAN_EXTENDER", "VOIP_SECURITY", "VIDEO_SECURITY", "WAF", "ADC",
+]
+REFERENCED_WORDS = [
+    "fortigate", "fortiswitch", "fortimanager", "fortianalyzer", "fortisiem", "fortilogger", "hardware logging", "log reporting", "firewall", "ngfw", "ipsec", "ssl vpn", "vpn throughput",
+    "interfaces", "sfp", "qsfp", "switch", "router", "fortinet appliance",
+]
+JUNIPER_WORDS = [
+    "juniper", "srx", "ex series", "qfx", "mx series", "acx", "ptx", "firewall", "ngfw", "switch", "router", "routing platform", "leaf", "spine", "top of rack", "access point", "wireless",
+    "wi-fi", "wifi", "mist", "apstra", "session smart router", "sfp", "qsfp", "interfaces", "ipsec", "ssl vpn",
+]
+#: A row that states a product and its size by itself.
+PRODUCT_SIGNAL = r"\b(?:hardware|appliance|equipment|device|firewalls?|switch(?:es)?|router|controller|gateway|ups|rack|pdu|cooling)\b"
+SIZING_SIGNAL = r"\b(?:capacity|throughput|interfaces?|ports?|sessions?|power\s+suppl|ha\s+configuration|redundant|minimum|min|qty|quantity)\b"
+#: A numbered section that states a product by itself.
+SEGMENT_PRODUCT = r"\b(?:hardware|appliance|controller|gateway|firewall|switch|router|manager|logging|ups|rack|pdu|cooling)\b"
+SEGMENT_DEMAND = r"\b(?:must|shall|should|provide|support|comply|required|capacity|throughput|interfaces?|licenses?)\b"
+
+#: Rows that open a product's block, and those that never do.
+NO_ANCHOR = ["gartner", "quoted firewall", "quoted firewalls", "oem of quoted", "leaders/challengers"]
+LOGGING_ANCHOR = r"\b(?:hardware\s+logging|logging\s+appliance|fortilogger)\b"
+ANCHORS = [
+    r"\b(?:next generation firewall|ngfw|firewall appliance|remote site firewall|central site firewall)s?\b",
+    r"\b(?:data center|datacenter|core|access|distribution)\s+switch(?:es)?\b",
+    r"\b(?:router|routing platform|edge router)s?\b",
+    r"\b(?:fortigate|fortiswitch|fortimanager|fortianalyzer|fortilogger|fortisiem)\b",
+]
+SIZED = r"\d+\s*(?:gbps|tbps|mbps|ge|gbe|g\b|tb|million|,)"
+SPEC_WORDS = ["throughput", "sessions", "policies", "storage", "interfaces", "port", "high availability", "power supply", "routing", "inspection"]
+CAPACITY_ROW = [
+    r"\b(?:hardware\s+capacity|equipment\s+hardware\s+capacity|ipsec\s+vpn\s+throughput|interfaces?\s+copper|redundant\s+power|ha\s+configuration)\b",
+    r"\b(?:gbps|mbps|interfaces?|redundant\s+power|active/passive|active-passive)\b",
+]
+FIREWALL_SHEET = r"\b(?:perimeter\s+firewalls?|next\s+generation\s+firewall|ngfw|firewall\s+appliance)\b"
+FIREWALL_SIGNALS = ["ips throughput", "threat protection throughput", "ssl/tls inspection", "ssl vpn throughput", "concurrent sessions", "firewall throughput"]
+FIREWALL_PORTS = r"\b(?:sfp\+?|sfp28|qsfp|rj45|ge\s+interfaces?)\b"
+LOGGING_SHEET = r"\b(?:hardware\s+logging|logging\s+appliance|fortilogger|centralized\s+logging)\b"
+LOGGING_WORDS = [r"\b(?:logs?|logging|reports?|analytics)\b", r"\b(?:eps|gb\s+per\s+day|firewall\s+logs?|log\s+backup)\b"]
+#: Words by which a whole sheet's anchor row is chosen, by kind of sheet.
+PREFERRED = {
+    "firewall": ["next generation firewall throughput", "ngfw throughput", "ips throughput", "threat protection throughput", "ssl/tls inspection", "ssl vpn throughput", "concurrent sessions"],
+    "logging title": ["100gb", "eps", "centralized logging", "firewall logs", "log analytics"],
+    "logging rows": ["fortilogger", "hardware logging", "logging appliance", "100gb", "eps", "centralized logging", "firewall logs", "log analytics"],
+    "management": ["centralized management", "unified dashboard", "configuration", "orchestration"],
+    "ssl vpn": ["concurrent users", "ssl-vpn concurrent", "ssl vpn users", "scalable"],
+}
+SINGLE_FIREWALL = ["per firewall appliance", "minimum requirements per firewall", "perimeter firewall"]
+
+#: Columns that the engine writes, and serial-number headers; none is part of a row's text.
+OUTPUT_COLUMNS = ["References", "Hardware_Reference_Reasoning", "Reference_Match_Details"]
+GUIDE_COLUMNS = ["Admin_Guide_Reference", "Admin_Guide_Reference_Reasoning"]
+SERIAL_KEYS = ["sn", "sno", "srno", "serialno", "no"]
+
+#: Products that are added if a catalog lacks them.
+CURATED = [
+    {
+        "vendor": "Fortinet", "model": "FortiLogger", "category": "LOGGING", "product_url": "https://www.fortilogger.com/", "datasheet_url": "https://www.fortilogger.com/",
+        "description": "Dedicated Fortinet-compatible hardware logging, reporting, and log backup appliance.",
+        "use_case": "hardware logging solution, firewall logs, centralized logging, log reporting, log backup",
+    },
+    {
+        "vendor": "Fortinet", "model": "FortiSwitch 1048E", "category": "DATACENTER_SWITCH", "switching_capacity_gbps": 1760, "interfaces": {"10g_sfp_plus": 48, "40g_qsfp_plus": 6},
+        "management_port": True, "product_url": "https://www.fortinet.com/products/ethernet-switches/fortiswitch",
+        "datasheet_url": "https://www.fortinet.com/content/dam/fortinet/assets/data-sheets/FortiSwitch_Data_Center_Series.pdf",
+        "description": "FortiSwitch data-center switch family member for high-density 10G SFP+ switching requirements.",
+    },
+]

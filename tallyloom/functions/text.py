@@ -58,14 +58,21 @@ def _any(parts: list[Column]) -> Column:
     return out
 
 
+def plain(c: Column) -> Column:
+    """Lower case, white space collapsed, dashes and signs made plain."""
+    return F.regexp_replace(F.translate(F.replace(F.lower(c), F.lit("≥"), F.lit(">=")), "—–", "--"), r"\s+", " ")
+
+
 def number(c: Column) -> Column:
-    """A catalog number: 1,234 / 12 million / 500k / 10 to 20 (the larger) / the first that there is."""
-    low = F.lower(F.replace(c, F.lit(","), F.lit("")))
-    ends = [F.regexp_extract(low, r"(\d+(?:\.\d+)?)\s*to\s*(\d+(?:\.\d+)?)", k).try_cast("double") for k in (1, 2)]
-    value = F.regexp_extract(low, r"(\d+(?:\.\d+)?)\s*(k|thousand|million|m\b)?", 1).try_cast("double")
-    unit = F.regexp_extract(low, r"(\d+(?:\.\d+)?)\s*(k|thousand|million|m\b)?", 2)
-    scaled = value * F.when(unit.isin("k", "thousand"), 1e3).when(unit.isin("million", "m"), 1e6).otherwise(1.0)
-    return F.coalesce(F.greatest(*ends), scaled)
+    """A number as catalogs write it: 1,234 / 12 million / 500k / 10 to 20 or 10-20 (the largest) / the
+    first that there is."""
+    bare = F.trim(F.replace(c, F.lit(","), F.lit("")))
+    scaled = r"(?i)(\d+(?:\.\d+)?)\s*(k|m|million|thousand)\b"
+    n, unit = F.regexp_extract(bare, scaled, 1).try_cast("double"), F.lower(F.regexp_extract(bare, scaled, 2))
+    found = F.transform(F.regexp_extract_all(bare, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
+    whole = F.when(bare.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), bare.try_cast("double"))
+    listed = F.when(bare.rlike(r"(?i)\bto\b|-") & (F.size(found) >= 2), F.array_max(found)).otherwise(F.get(found, F.lit(0)))
+    return F.coalesce(whole, F.when(unit.isin("m", "million"), n * 1e6).when(unit != "", n * 1e3), listed)
 
 
 def gbps(c: Column) -> Column:
@@ -104,8 +111,8 @@ def interface_count(c: Column, name: str) -> Column:
 
 def numbered_sections(c: Column) -> Column:
     """Parts that begin with 1.2 or 1.2.3 and a blank; what stands before the first goes."""
-    marked = F.regexp_replace(c, r"(\b\d+(?:\.\d+)+\s+)", "\u0001$1")
-    return F.transform(F.slice(F.split(marked, "\u0001"), 2, 10_000), lambda x: F.trim(x))
+    parts = F.split(F.regexp_replace(c, r"(\b\d+(?:\.\d+)+\s+)", "\u0001$1"), "\u0001")
+    return F.transform(F.filter(parts, lambda x, i: i > 0), lambda x: F.trim(x))
 
 
 def inline_bullets(c: Column) -> Column:
