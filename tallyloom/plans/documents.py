@@ -4,113 +4,144 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import requirements as rq
+from ..functions import rules as R
 from ..functions import text as tx
+from ..operators import detect as dt
 from ..operators import shape as sh
 from .book import Book
 
 BOOK = Book()
-#: documents as volumes of 50 pages
-PAGES = "pg AS (SELECT doc_id // 50 AS vol, doc_id % 50 + 1 AS page_no, doc_id, text, n_chars FROM documents)"
-KEYWORDS = ["the", "ing", "tion", "ment", "lich", "ción"]
-PHRASES = ["worthless", "license", "copyright", "the the"]
+#: Lines that open the pages of our volumes; documents themselves are invented prose.
+TOPS = [
+    "SECTION V", "x", "Technical Requirements", "Annex-B1", "Annex-B2", "SCOPE OF WORK", "Table of Contents\nFirewall .... 3\nSwitch .... 4\nRouter .... 5", "BID FORMS", "y", "Annex-A : Bill of Quantity",
+    "Annex-B7", "ANNEX-C", "SCHEDULE OF REQUIREMENTS for the network", "z", "Invitation to Bid\nSECTION 5", "TSR-7", "Annex-B9", "q", "EVALUATION CRITERIA", "a 1\na 2\na 3\na 4\na 5\na 6\na 7\nSECTION 5",
+    "FORM A-1 of the bidder who shall sign and stamp every page of it", "w", "v",
+]
+FILLER = "Firewall and switch, throughput in Gbps; IPsec VPN. "
+#: documents as volumes of 50 pages; a volume's number shifts which page opens with which line
+PAGES = "pg AS (SELECT doc_id // 50 AS doc, doc_id % 50 + 1 AS page_no, doc_id, text AS prose, [" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in TOPS) + f"][(doc_id * 7 + doc_id // 50) % {len(TOPS)} + 1] || chr(10) || repeat('{FILLER}', CAST(doc_id % 4 AS BIGINT)) || chr(10) || text AS text FROM documents)"
 
 
 def pages(t):
-    return t.documents.select(F.floor(F.col("doc_id") / 50).cast("bigint").alias("vol"), (F.col("doc_id") % 50 + 1).alias("page_no"), "doc_id", "text", "n_chars")
+    tops = F.array(*map(F.lit, TOPS))
+    top = F.get(tops, ((F.col("doc_id") * 7 + F.floor(F.col("doc_id") / 50)) % len(TOPS)).cast("int"))
+    text = F.concat(top, F.lit("\n"), F.expr(f"repeat('{FILLER}', cast(doc_id % 4 as int))"), F.lit("\n"), F.col("text"))
+    return t.documents.select(F.floor(F.col("doc_id") / 50).cast("bigint").alias("doc"), (F.col("doc_id") % 50 + 1).alias("page_no"), "doc_id", F.col("text").alias("prose"), text.alias("text"))
 
 
 def sql_density(c: str) -> str:
-    return " + ".join(f"least((length({c}) - length(replace({c}, '{k}', ''))) // {len(k)}, 6)" for k in KEYWORDS)
-
-
-@BOOK.query(f"SELECT doc_id, CAST({sql_density('text')} AS BIGINT) AS density FROM documents")
+    return " + ".join(f"least((length({c}) - length(replace({c}, '{k}', ''))) // {len(k)}, 6)" for k in dt.KEYWORDS)
+
+
+def quoted(p: str) -> str:
+    return p.replace("'", "''")
+
+
+#: Facts of each page, in SQL: lines without outer white space, first headers, density.
+FACTS = PAGES + f""",
+ls AS (SELECT doc, page_no, doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM pg),
+up AS (SELECT *, upper(replace(array_to_string(l, ' '), 'ß', 'ss')) AS u, array_to_string(l, ' ') AS j FROM ls),
+sp(o, pat, w) AS (VALUES {', '.join(f"({n}, '{quoted(p)}', {dt.weight(p)})" for n, p in enumerate(dt.START_HEADERS))}),
+ep(o, pat) AS (VALUES {', '.join(f"({n}, '{quoted(p)}')" for n, p in enumerate(dt.END_HEADERS))}),
+t8 AS (SELECT doc, page_no, unnest(list_slice(l, 1, 8)) AS line, generate_subscripts(list_slice(l, 1, 8), 1) AS no FROM ls),
+t10 AS (SELECT doc, page_no, len(l) AS n, unnest(list_slice(l, 1, 10)) AS line, generate_subscripts(list_slice(l, 1, 10), 1) AS no FROM ls),
+sh AS (SELECT doc, page_no, arg_min(struct_pack(o := o, w := w, line := line), struct_pack(a := o, b := no)) AS s FROM t8, sp WHERE length(line) <= 130 AND length(regexp_extract(upper(line), pat)) / greatest(length(line), 1) >= 0.3 GROUP BY ALL),
+eh AS (SELECT doc, page_no, arg_min(struct_pack(o := o, place := (no - 1) / n), struct_pack(a := o, b := no)) AS e FROM t10, ep WHERE length(line) <= 130 AND length(regexp_extract(upper(line), pat)) / greatest(length(line), 1) >= 0.3 GROUP BY ALL),
+fa AS (SELECT doc, page_no, doc_id, len(l) AS n_lines, (length(j) - length(replace(j, '....', ''))) // 4 > 2 OR (length(j) - length(replace(j, '. . . .', ''))) // 7 > 2 OR (page_no <= 15 AND len(list_filter(l, lambda x: regexp_matches(x, '\\s+\\d{{1,3}}\\s*$'))) > 6) AS toc,
+  CAST({sql_density('u')} AS BIGINT) AS density, {' OR '.join(f"contains(u, '{k}')" for k in dt.PROCEDURAL)} AS procedural, s, e, regexp_matches(text, '{quoted(dt.ANNEX_A)}') AS a,
+  len(list_filter(list_slice(l, 1, 4), lambda x: regexp_matches(x, '{quoted(dt.ANNEX_B)}'))) > 0 AS b, len(list_filter(list_slice(l, 1, 4), lambda x: regexp_matches(x, '{quoted(dt.ANNEX_C)}'))) > 0 AS c
+  FROM up LEFT JOIN sh USING (doc, page_no) LEFT JOIN eh USING (doc, page_no)),
+sz AS (SELECT doc, max(page_no) AS n_pages FROM fa GROUP BY 1),
+cand AS (SELECT doc, page_no, s.o AS pattern, s.line AS line, density, CAST(s.w + density * 8 - CASE WHEN procedural THEN 800 ELSE 0 END + CASE WHEN (page_no - 1) / n_pages < 0.08 THEN -500 WHEN (page_no - 1) / n_pages > 0.10 AND (page_no - 1) / n_pages < 0.85 THEN 100 ELSE 0 END AS BIGINT) AS score FROM fa JOIN sz USING (doc) WHERE NOT toc AND s IS NOT NULL),
+st AS (SELECT doc, n_pages, coalesce(arg_min(page_no, struct_pack(x := -score, y := page_no)), 1) AS start_page, coalesce(arg_min(line, struct_pack(x := -score, y := page_no)), 'Fallback') AS title FROM sz LEFT JOIN cand USING (doc) GROUP BY doc, n_pages),
+af AS (SELECT fa.*, start_page, density < 15 AS low FROM fa JOIN st USING (doc) WHERE page_no > start_page),
+rn AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page_no) - row_number() OVER (PARTITION BY doc, low ORDER BY page_no) AS g FROM af),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc, low, g ORDER BY page_no) AS k FROM rn),
+ev AS (SELECT doc, page_no, 0 AS kind, CASE WHEN e.place < 0.55 THEN page_no - 1 ELSE page_no END AS v FROM rk WHERE e IS NOT NULL UNION ALL SELECT doc, page_no, 1, page_no - 5 FROM rk WHERE low AND k = 6),
+en AS (SELECT doc, n_pages, start_page, title, coalesce(arg_min(v, struct_pack(x := page_no, y := kind)), n_pages) AS end_page FROM st LEFT JOIN ev USING (doc) GROUP BY doc, n_pages, start_page, title),
+aa AS (SELECT doc, min(page_no) FILTER (WHERE a) AS a FROM fa GROUP BY 1),
+bb AS (SELECT fa.doc, page_no, row_number() OVER (PARTITION BY fa.doc ORDER BY page_no) AS no, lead(page_no) OVER (PARTITION BY fa.doc ORDER BY page_no) - page_no AS gap FROM fa JOIN aa USING (doc) WHERE fa.b AND page_no IS DISTINCT FROM aa.a),
+bg AS (SELECT doc, count(*) AS n, list_sort(list(gap) FILTER (WHERE gap IS NOT NULL)) AS x, min(page_no) AS first FROM bb GROUP BY 1),
+hf AS (SELECT doc, list_sort(list(gap)) AS h FROM bb JOIN bg USING (doc) WHERE no <= n // 2 + 1 AND gap IS NOT NULL AND no <= (n - 1) // 2 + 1 GROUP BY 1),
+ct AS (SELECT bb.doc, min(page_no) AS cut FROM bb JOIN bg USING (doc) JOIN hf USING (doc) WHERE n >= 4 AND gap > greatest(8 * h[len(h) // 2 + 1], 30) GROUP BY 1),
+cc AS (SELECT fa.doc, min(page_no) AS c FROM fa JOIN bg USING (doc) JOIN aa USING (doc) WHERE fa.c AND page_no >= first AND page_no IS DISTINCT FROM aa.a GROUP BY 1),
+an AS (SELECT bb.doc, coalesce(any_value(aa.a), min(page_no)) AS start_page, CASE WHEN any_value(cc.c) > max(page_no) THEN any_value(cc.c) - 1 ELSE max(page_no) END AS end_page, count(*) AS sheets FROM bb JOIN aa USING (doc) LEFT JOIN ct USING (doc) LEFT JOIN cc USING (doc) WHERE cut IS NULL OR page_no <= cut GROUP BY bb.doc),
+ar AS (SELECT * FROM an WHERE end_page - start_page + 1 >= 5 AND sheets >= 3)"""
+
+
+def facts(t):
+    return dt.page_facts(pages(t))
+
+
+@BOOK.query(f"WITH {FACTS} SELECT doc, page_no, density FROM fa")
 def keyword_density(t):
-    return t.documents.select("doc_id", tx.density(F.col("text"), KEYWORDS).alias("density"))
+    return facts(t).select("doc", "page_no", "density")
 
 
-@BOOK.query("SELECT doc_id, " + " OR ".join(f"contains(text, '{p}')" for p in PHRASES) + " AS procedural FROM documents")
+@BOOK.query(f"WITH {FACTS} SELECT doc, page_no, procedural FROM fa")
 def procedural_flag(t):
-    return t.documents.select("doc_id", tx.any_of(F.col("text"), PHRASES).alias("procedural"))
+    return facts(t).select("doc", "page_no", "procedural")
 
 
-CATEGORIES = [("FIREWALL", ["worthless", "idiot"]), ("SWITCH", ["license", "copyright"]), ("ROUTER", ["tion"]), ("UPS", ["ent"])]
+SQL_CATEGORIES = [(c, R.CATEGORY_KEYWORDS[c]) for c in [*R.ARCHITECTURE, *(c for c in R.CATEGORY_KEYWORDS if c not in R.ARCHITECTURE)]]
 
 
-@BOOK.query("SELECT doc_id, coalesce(CASE " + " ".join("WHEN " + " OR ".join(f"contains(text, '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in CATEGORIES) + " END, 'NONE') AS category FROM documents")
+@BOOK.query(f"WITH {PAGES} SELECT doc, page_no, coalesce(CASE " + " ".join("WHEN " + " OR ".join(f"contains(l, '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in SQL_CATEGORIES) + " END, 'NONE') AS category FROM (SELECT doc, page_no, ' ' || regexp_replace(lower(text), '\\s+', ' ', 'g') || ' ' AS l FROM pg)")
 def category_detect(t):
-    return t.documents.select("doc_id", F.coalesce(tx.first_category(F.col("text"), CATEGORIES), F.lit("NONE")).alias("category"))
+    text = F.concat(F.lit(" "), tx.plain(F.col("text")), F.lit(" "))
+    return pages(t).select("doc", "page_no", F.coalesce(rq.category(text), F.lit("NONE")).alias("category"))
 
 
-@BOOK.query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, count(*) FILTER (WHERE trim(line) <> '') AS n_lines, CAST(count(*) FILTER (WHERE regexp_matches(line, 'an[.]$')) AS BIGINT) AS n_ends, count(*) FILTER (WHERE regexp_matches(line, 'an[.]$')) > 2 OR count(*) FILTER (WHERE contains(line, '....')) > 2 AS is_toc FROM l GROUP BY doc_id""")
+@BOOK.query(f"WITH {FACTS} SELECT doc, page_no, CAST(n_lines AS BIGINT) AS n_lines, toc AS is_toc FROM fa")
 def toc_page_flag(t):
-    lines = F.split("text", "\n")
-    n = F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("bigint")
-    ends = F.size(F.filter(lines, lambda x: x.rlike("an[.]$"))).cast("bigint")
-    dots = F.size(F.filter(lines, lambda x: x.contains("....")))
-    return t.documents.select("doc_id", n.alias("n_lines"), ends.alias("n_ends"), ((ends > 2) | (dots > 2)).alias("is_toc"))
-
-
-HEADERS = [(1, "THE [A-Z]+", 1000), (2, "AND [A-Z]+", 600), (3, "LA [A-Z]+", 300)]
-LINES = """ln AS (SELECT vol, page_no, unnest(list_slice(string_split(text, chr(10)), 1, 8)) AS line, generate_subscripts(list_slice(string_split(text, chr(10)), 1, 8), 1) AS line_no FROM pg),
-hd AS (SELECT ln.*, o, w, length(regexp_extract(upper(line), pat, 0)) / greatest(length(line), 1) AS cover FROM ln, (VALUES """ + ", ".join(f"({o}, '{p}', {w})" for o, p, w in HEADERS) + """) r(o, pat, w) WHERE length(line) <= 130)"""
-
-
-def headers(t):
-    """Each header line among the first eight of a page, with the pattern that it meets."""
-    rules = F.array(*(F.struct(F.lit(o).alias("o"), (F.length(F.regexp_extract(F.upper("line"), p, 0)) / F.greatest(F.length("line"), F.lit(1))).alias("cover"), F.lit(w).alias("w")) for o, p, w in HEADERS))
-    lines = pages(t).select("vol", "page_no", F.posexplode(F.slice(F.split("text", "\n"), 1, 8)).alias("line_no", "line"))
-    found = lines.where(F.length("line") <= 130).select("vol", "page_no", (F.col("line_no") + 1).cast("bigint").alias("line_no"), "line", F.explode(rules).alias("r"))
-    return found.select("vol", "page_no", "line_no", "line", "r.o", "r.cover", "r.w").where(F.col("cover") >= 0.3)
+    return facts(t).select("doc", "page_no", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("toc").alias("is_toc"))
 
 
-@BOOK.query(f"WITH {PAGES}, {LINES} SELECT vol, page_no, line_no, CAST(o AS BIGINT) AS pattern, round(cover, 6) AS cover FROM hd WHERE cover >= 0.3")
+@BOOK.query(f"WITH {FACTS} SELECT doc, page_no, CAST(s.o AS BIGINT) AS opens, CAST(e.o AS BIGINT) AS closes, round(e.place, 6) AS place FROM fa WHERE s IS NOT NULL OR e IS NOT NULL")
 def header_coverage(t):
-    return headers(t).select("vol", "page_no", "line_no", F.col("o").cast("bigint").alias("pattern"), F.round("cover", 6).alias("cover"))
+    hit = facts(t).where("start IS NOT NULL OR stop IS NOT NULL")
+    return hit.select("doc", "page_no", F.col("start.pattern").cast("bigint").alias("opens"), F.col("stop.pattern").cast("bigint").alias("closes"), F.when(F.col("stop").isNotNull(), F.round("stop_place", 6)).alias("place"))
 
 
-CANDIDATES = f"""{PAGES}, {LINES}, best AS (SELECT *, row_number() OVER (PARTITION BY vol, page_no ORDER BY o, line_no) rn FROM hd WHERE cover >= 0.3),
-cand AS (SELECT vol, page_no, w + 8 * ({sql_density('text')}) - CASE WHEN page_no - 1 < 4 THEN 500 ELSE 0 END + CASE WHEN page_no - 1 > 5 AND page_no - 1 < 42.5 THEN 100 ELSE 0 END AS score FROM best JOIN pg USING (vol, page_no) WHERE rn = 1)"""
-
-
-def start_scores(t):
-    first = sh.first_wins(headers(t), ["vol", "page_no"], ["o", "line_no"])
-    pos = (F.col("page_no") - 1) / 50
-    score = F.col("w") + 8 * tx.density(F.col("text"), KEYWORDS) - F.when(pos < 0.08, 500).otherwise(0) + F.when((pos > 0.10) & (pos < 0.85), 100).otherwise(0)
-    return first.select("vol", "page_no", "w").join(pages(t), ["vol", "page_no"]).select("vol", "page_no", score.cast("bigint").alias("score"))
-
-
-@BOOK.query(f"WITH {CANDIDATES} SELECT vol, page_no, CAST(score AS BIGINT) AS score FROM cand")
+@BOOK.query(f"WITH {FACTS} SELECT doc, page_no, score, line FROM cand")
 def start_candidates(t):
-    return start_scores(t)
+    return dt.start_candidates(facts(t)).select("doc", "page_no", F.col("score").cast("bigint").alias("score"), "line")
 
 
-@BOOK.query(f"WITH {CANDIDATES} SELECT vol, coalesce(arg_min(page_no, struct_pack(a := -score, b := page_no)), 1) AS start_page FROM (SELECT DISTINCT vol FROM pg) LEFT JOIN cand USING (vol) GROUP BY vol")
+@BOOK.query(f"WITH {FACTS} SELECT doc, start_page, title FROM st")
 def pick_start_page(t):
-    best = sh.first_wins(start_scores(t), ["vol"], [F.desc("score"), "page_no"])
-    return pages(t).select("vol").distinct().join(best, "vol", "left").select("vol", F.coalesce("page_no", F.lit(1)).alias("start_page"))
+    return dt.start_pages(facts(t)).select("doc", F.col("start_page").cast("bigint").alias("start_page"), "title")
+
 
+@BOOK.query(f"WITH {FACTS} SELECT doc, min(page_no) - 5 AS streak_start FROM rk WHERE low AND k = 6 GROUP BY doc")
+def low_density_streak(t):
+    own = facts(t)
+    rows = own.join(dt.start_pages(own).select("doc", "start_page"), "doc").where("page_no > start_page")
+    return sh.low_streak(rows, ["doc"], "page_no", F.col("density") < dt.LOW, dt.STREAK)
 
-STREAK = f"""{PAGES}, lowp AS (SELECT vol, page_no, ({sql_density('text')}) < 15 AS low FROM pg),
-isl AS (SELECT *, page_no - row_number() OVER (PARTITION BY vol, low ORDER BY page_no) g FROM lowp),
-st AS (SELECT vol, min(page_no) s FROM (SELECT vol, g, min(page_no) page_no, count(*) n FROM isl WHERE low GROUP BY vol, g) WHERE n >= 3 GROUP BY vol)"""
 
+@BOOK.query(f"WITH {FACTS} SELECT doc, end_page FROM en")
+def find_end_page(t):
+    own = facts(t)
+    return dt.end_pages(own, dt.start_pages(own)).select("doc", F.col("end_page").cast("bigint").alias("end_page"))
 
-def streaks(t):
-    rows = pages(t).select("vol", "page_no", (tx.density(F.col("text"), KEYWORDS) < 15).alias("low"))
-    return sh.low_streak(rows, ["vol"], "page_no", F.col("low"), 3)
 
+@BOOK.query(f"WITH {FACTS} SELECT doc, start_page, end_page, sheets FROM ar")
+def annex_sweep(t):
+    return dt.annex_ranges(facts(t)).select("doc", *(F.col(c).cast("bigint").alias(c) for c in ("start_page", "end_page", "sheets")))
 
-@BOOK.query(f"WITH {STREAK} SELECT vol, s AS streak_start FROM st")
-def low_density_streak(t):
-    return streaks(t)
 
+@BOOK.query(f"WITH {FACTS}, de AS (SELECT en.doc, en.n_pages, greatest(1, least(coalesce(ar.start_page, en.start_page), n_pages)) AS start_page, coalesce(ar.end_page, en.end_page) AS z, CASE WHEN ar.doc IS NULL THEN title ELSE 'Annex-A + Annex-B (' || sheets || ' sheets)' END AS title FROM en LEFT JOIN ar USING (doc)) SELECT doc, start_page, greatest(start_page, least(z, n_pages)) AS end_page, title FROM de")
+def detect_requirements(t):
+    """The whole detector: annexes first, else headers, scores and the end."""
+    return dt.detect_sections(facts(t)).select("doc", *(F.col(c).cast("bigint").alias(c) for c in ("start_page", "end_page")), "title")
 
-@BOOK.query(f"WITH {STREAK}, {LINES}, hs AS (SELECT vol, min(page_no) h FROM hd WHERE cover >= 0.5 AND page_no > 1 GROUP BY vol) SELECT vol, least(coalesce(h - 1, 50), coalesce(s, 50), 50) AS end_page FROM (SELECT DISTINCT vol FROM pg) LEFT JOIN hs USING (vol) LEFT JOIN st USING (vol)")
-def find_end_page(t):
-    h = headers(t).where((F.col("cover") >= 0.5) & (F.col("page_no") > 1)).groupBy("vol").agg(F.min("page_no").alias("h"))
-    out = pages(t).select("vol").distinct().join(h, "vol", "left").join(streaks(t), "vol", "left")
-    return out.select("vol", F.least(F.coalesce(F.col("h") - 1, F.lit(50)), F.coalesce("streak_start", F.lit(50)), F.lit(50)).cast("bigint").alias("end_page"))
+
+@BOOK.query(f"WITH {FACTS} SELECT doc, page_no, length(text) AS n FROM en JOIN pg USING (doc) WHERE page_no BETWEEN start_page AND end_page")
+def section_pages(t):
+    own = facts(t)
+    return dt.pages_between(pages(t), dt.end_pages(own, dt.start_pages(own))).select("doc", "page_no", F.length("text").cast("bigint").alias("n"))
 
 
 @BOOK.query("""WITH p AS (SELECT DISTINCT user_id, event_id // 7 AS page FROM events), g AS (SELECT *, row_number() OVER w no, lead(page) OVER w - page gap FROM p WINDOW w AS (PARTITION BY user_id ORDER BY page)),
@@ -123,23 +154,40 @@ def corrigendum_gap_cut(t):
     return sh.gap_cut(rows, ["user_id"], "page", factor=2)
 
 
-@BOOK.query(f"WITH {PAGES} SELECT vol, (page_no - 1) // 10 AS chunk_no, count(*) AS n_pages, min(page_no) AS first_page, max(page_no) AS last_page FROM pg GROUP BY ALL")
+@BOOK.query(f"WITH {PAGES} SELECT doc, (page_no - 1) // 10 AS chunk_no, count(*) AS n_pages, min(page_no) AS first_page, max(page_no) AS last_page FROM pg GROUP BY ALL")
 def page_chunking(t):
-    return pages(t).groupBy("vol", F.floor((F.col("page_no") - 1) / 10).cast("bigint").alias("chunk_no")).agg(F.count(F.lit(1)).alias("n_pages"), F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"))
+    return pages(t).groupBy("doc", F.floor((F.col("page_no") - 1) / 10).cast("bigint").alias("chunk_no")).agg(F.count(F.lit(1)).alias("n_pages"), F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"))
+
 
+#: Dollars for a million tokens in and out.
+PRICES = [
+    ("gemini-3-flash-preview", 0.50, 3.00), ("gemini-3.5-flash", 1.50, 9.00), ("gemini-3.1-pro-preview", 2.00, 12.00), ("gemini-3.1-flash-lite", 0.25, 1.50), ("gemini-2.5-pro", 1.25, 10.00),
+    ("gemini-2.5-flash", 0.30, 2.50), ("gemini-2.5-flash-lite", 0.10, 0.40), ("gemini-2.5-flash-lite-preview-09-2025", 0.10, 0.40),
+]
 
-PRICES = [("small", 0.10, 0.40), ("medium", 0.30, 2.50), ("large", 2.00, 12.00)]
 
+def price_of(model: str | None) -> tuple[str, float, float]:
+    """The prices of a model (the first without a name); an unknown model is an error."""
+    wanted = (model or PRICES[0][0]).strip()
+    for row in PRICES:
+        if row[0] == wanted:
+            return row
+    raise ValueError(f"unknown model {wanted!r}; known: " + ", ".join(m for m, *_ in PRICES))
 
-@BOOK.query(f"""WITH {PAGES}, a AS (SELECT vol, count(*) p, sum(length(text)) c FROM pg GROUP BY 1), b AS (SELECT vol, floor((c + 4500 * greatest(1, ceil(p / 10.0))) / 3.8) ti FROM a),
+
+def estimated_cost(volumes, prices):
+    """volumes (doc, p pages, c characters) with tokens and dollars of each model of prices."""
+    rows = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(a).alias("pi"), F.lit(b).alias("po")) for m, a, b in prices))
+    ti = F.floor((F.col("c") + 4500 * F.greatest(F.lit(1), F.ceil(F.col("p") / 10))) / F.lit(3.8)).cast("bigint")
+    out = volumes.select("doc", ti.alias("tokens_in"), F.explode(rows).alias("x")).withColumn("tokens_out", F.floor(F.col("tokens_in") * F.lit(0.3)).cast("bigint"))
+    return out.select("doc", "x.model", "tokens_in", "tokens_out", F.round(F.col("tokens_in") / 1e6 * F.col("x.pi") + F.col("tokens_out") / 1e6 * F.col("x.po"), 6).alias("usd"))
+
+
+@BOOK.query(f"""WITH {PAGES}, a AS (SELECT doc, count(*) p, sum(length(text)) c FROM pg GROUP BY 1), b AS (SELECT doc, floor((c + 4500 * greatest(1, ceil(p / 10.0))) / 3.8) ti FROM a),
 pr(model, pi, po) AS (VALUES {', '.join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE)" for m, a, b in PRICES)})
-SELECT vol, model, CAST(ti AS BIGINT) AS tokens_in, CAST(floor(ti * 0.3::DOUBLE) AS BIGINT) AS tokens_out, round(ti / 1e6 * pi + floor(ti * 0.3::DOUBLE) / 1e6 * po, 6) AS usd FROM b, pr""")
+SELECT doc, model, CAST(ti AS BIGINT) AS tokens_in, CAST(floor(ti * 0.3::DOUBLE) AS BIGINT) AS tokens_out, round(ti / 1e6 * pi + floor(ti * 0.3::DOUBLE) / 1e6 * po, 6) AS usd FROM b, pr""")
 def cost_estimate(t):
-    prices = F.array(*(F.struct(F.lit(m).alias("model"), F.lit(a).alias("pi"), F.lit(b).alias("po")) for m, a, b in PRICES))
-    a = pages(t).groupBy("vol").agg(F.count(F.lit(1)).alias("p"), F.sum(F.length("text")).alias("c"))
-    ti = F.floor((F.col("c") + 4500 * F.greatest(F.lit(1), F.ceil(F.col("p") / 10))) / F.lit(3.8)).cast("bigint")
-    rows = a.select("vol", ti.alias("tokens_in"), F.explode(prices).alias("x")).withColumn("tokens_out", F.floor(F.col("tokens_in") * F.lit(0.3)).cast("bigint"))
-    return rows.select("vol", "x.model", "tokens_in", "tokens_out", F.round(F.col("tokens_in") / 1e6 * F.col("x.pi") + F.col("tokens_out") / 1e6 * F.col("x.po"), 6).alias("usd"))
+    return estimated_cost(pages(t).groupBy("doc").agg(F.count(F.lit(1)).alias("p"), F.sum(F.length("text")).alias("c")), PRICES)
 
 
 @BOOK.query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE text <> '') AS full_text FROM conversations GROUP BY conv_id")
