@@ -54,6 +54,7 @@ DENSE = 0.9  # of the threshold
 HOLD = 1 << 14  # classes of a large node in memory at a time
 MANY = 4  # fitting pairs a class, up to which all of them are proposed
 TINY = 2 * MANY + 1  # classes that cannot have more
+BROADCAST = 1_000_000
 VOLUME = 1 << 21  # shingles of a group that one task holds
 PLANES = 3  # sketch bits a token
 ERRORS = 4.5  # standard errors that a sketch may stray
@@ -330,15 +331,16 @@ def proposals(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
 
 
 def full_sets(cids: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """cid, s (the sorted shingles) of some classes, from the text that stands for each."""
-    need = cids.join(classes.select("cid", "row"), "cid")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(need, "row").groupBy("row", "cid").agg(F.first("text").alias("text"))
+    """A table of cid, s (the sorted shingles) of some classes, from the text that stands for each. Up to
+    BROADCAST classes go to the texts; more of them, and the texts, are shuffled."""
+    need = stash(cids.join(classes.select("cid", "row"), "cid"))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text").join(F.broadcast(need) if need.count() <= BROADCAST else need, "row")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"cid": b["cid"], "s": [s.tobytes() for _, s in shingle_sets(b["text"].tolist(), size)]})
 
-    return texts.select("cid", "text").mapInPandas(sets, "cid bigint, s binary")
+    return stash(texts.select("cid", "text").mapInPandas(sets, "cid bigint, s binary").groupBy("cid").agg(F.first("s").alias("s")))
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -400,7 +402,7 @@ def across(parts: DataFrame, roots: DataFrame, classes: DataFrame, docs: DataFra
     sizes = members.groupBy("group", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
     groups = sizes.groupBy("group").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.ceil(F.sum("n") / VOLUME).alias("parts"), F.count(F.lit(1)).alias("roots"))
     members = stash(members.join(groups.where("roots > 1").drop("roots"), "group"))
-    full = stash(full_sets(members.select("cid"), classes, docs, size))
+    full = full_sets(members.select("cid"), classes, docs, size)
     held = members.select("group", F.pmod(F.xxhash64("cid"), "parts").alias("part"), F.lit(0).alias("asks"), "cid", "root")
     asked = members.where("root <> main").select("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("asks"), "cid", "root")
 
