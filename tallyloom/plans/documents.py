@@ -235,10 +235,3 @@ def named_dest_first(t):
 @BOOK.query("SELECT page_id, regexp_extract(html, 'https?://[^\\s|\"''<>]+', 0) AS first_url FROM pages")
 def first_url(t):
     return t.pages.select("page_id", tx.first_url(F.col("html")).alias("first_url"))
-
-
-@BOOK.query("""SELECT page_id, CAST(CASE WHEN NOT starts_with(url, 'http') THEN 0 WHEN contains(url, 'spam') OR contains(url, 'casino') THEN 0 WHEN contains(url, '.html') THEN 3 WHEN starts_with(url, 'https') THEN 2 ELSE 1 END AS BIGINT) AS quality, CASE WHEN contains(url, 'utm_') THEN 1.0 WHEN contains(url, '?') THEN 0.5 ELSE 0.0 END::DOUBLE AS penalty FROM pages""")
-def url_quality(t):
-    u = F.col("url")
-    q = F.when(~u.startswith("http"), 0).when(tx.any_of(u, ["spam", "casino"]), 0).when(u.contains(".html"), 3).when(u.startswith("https"), 2).otherwise(1)
-    return t.pages.select("page_id", q.cast("bigint").alias("quality"), F.when(u.contains("utm_"), 1.0).when(u.contains("?"), 0.5).otherwise(0.0).alias("penalty"))

@@ -19,13 +19,8 @@ def token_set(t):
     return rows.select("doc_id", F.size("x").cast("bigint").alias("n_tokens"), F.array_join(F.slice("x", 1, 5), ",").alias("head"))
 
 
-DOMAINS = [("Security", ["the", "license"]), ("Routing", ["onnt", "of the"]), ("VPN", ["ing", "la"])]
 
 
-@BOOK.query(f"SELECT doc_id, CASE WHEN d = '' THEN 'General' ELSE d END AS domains FROM (SELECT doc_id, array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(l, '{w}')" if " " in w else f"list_contains(x, '{w}')" for w in ws) + f" THEN '{n}' END" for n, ws in DOMAINS) + f"], lambda y: y IS NOT NULL), ',') d FROM (SELECT doc_id, lower(text) l, {SQL_TOKENS.format('text')} x FROM documents))")
-def domain_tags(t):
-    return t.documents.select("doc_id", F.array_join(tx.domains(F.col("text"), DOMAINS), ",").alias("domains"))
-
 
 TERMS = "regexp_extract_all(lower({0}), '[a-z0-9]{{2,}}')"
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from ..functions import requirements as rq
+from ..functions import rules as R
 from ..functions import text as tx
+from ..operators import blocks as bl
 from ..operators import shape as sh
 from ..sources import sheets as ss
 from .book import Book
@@ -25,22 +28,22 @@ KEY = ["l_orderkey", "l_linenumber"]
 
 @BOOK.query(f"WITH {SPEC} SELECT l_orderkey, l_linenumber, round(CAST(regexp_extract(req, '(\\d+) ([tgm])bps', 1) AS DOUBLE) * CASE regexp_extract(req, '(\\d+) ([tgm])bps', 2) WHEN 't' THEN 1000 WHEN 'm' THEN 0.001 ELSE 1 END, 6) AS gbps FROM sp")
 def unit_to_gbps(t):
-    return specs(t).select(*KEY, F.round(tx.gbps(F.col("req")), 6).alias("gbps"))
+    return specs(t).select(*KEY, F.round(F.array_max(F.map_values(rq.throughputs(rq.prepared(F.col("req")), F.lit("")))), 6).alias("gbps"))
 
 
 @BOOK.query(f"WITH {SPEC} SELECT l_orderkey, l_linenumber, CAST(CAST(regexp_extract(req, 'sessions (\\d+)( million|k)?', 1) AS DOUBLE) * CASE trim(regexp_extract(req, 'sessions (\\d+)( million|k)?', 2)) WHEN 'million' THEN 1000000 WHEN 'k' THEN 1000 ELSE 1 END AS BIGINT) AS sessions FROM sp")
 def count_suffix_parse(t):
-    return specs(t).select(*KEY, tx.labelled_count(F.col("req"), "concurrent sessions").alias("sessions"))
+    return specs(t).select(*KEY, rq.count(rq.prepared(F.col("req")), R.COUNT_LABELS["concurrent_sessions"]).alias("sessions"))
 
 
 @BOOK.query(f"WITH {SPEC} SELECT l_orderkey, l_linenumber, CAST(regexp_extract(req, 'and (\\d+) kva', 1) AS DOUBLE) AS kva FROM sp")
 def capacity_extract(t):
-    return specs(t).select(*KEY, tx.capacity(F.col("req"), "kva").alias("kva"))
+    return specs(t).select(*KEY, rq.capacity(rq.prepared(F.col("req")), "kva").alias("kva"))
 
 
 @BOOK.query(f"WITH {SPEC} SELECT l_orderkey, l_linenumber, CAST(regexp_extract(req, '(\\d+) x 10g sfp', 1) AS BIGINT) AS ports FROM sp")
 def interface_extract(t):
-    return specs(t).select(*KEY, tx.interface_count(F.col("req"), "10g sfp").alias("ports"))
+    return specs(t).select(*KEY, rq.interfaces(rq.prepared(F.col("req")))["10g_sfp_plus"].alias("ports"))
 
 
 @BOOK.query("""SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1000000 WHEN 2 THEN p_size + 7 ELSE p_size * 1000 END AS DOUBLE) AS value FROM part""")
@@ -89,10 +92,18 @@ def block_cover(t):
     return sh.covered_by(t.lineitem.select("l_orderkey", "l_linenumber", "l_linestatus", "l_quantity"), ["l_orderkey"], ["l_linenumber", F.desc_nulls_last(anchor)], anchor).select("l_orderkey", "l_linenumber", F.coalesce("anchor", F.lit(-1)).alias("anchor"))
 
 
-@BOOK.query("SELECT conv_id, left(string_agg(left(text, 200), ' | ' ORDER BY turn), 1000) AS ctx FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+@BOOK.query("SELECT conv_id, left(string_agg(text, ' | ' ORDER BY turn), 1000) AS ctx FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
 def group_context(t):
-    rows = t.conversations.where(F.trim("text") != "").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.left("text", F.lit(200)).alias("x")))).alias("g"))
-    return rows.select("conv_id", F.left(F.array_join(F.transform("g", lambda s: s["x"]), " | "), F.lit(1000)).alias("ctx"))
+    """Texts of a group in order, the joined text cut at 1,000 characters."""
+    rows = bl.parts_of(t.conversations.where(F.trim("text") != "").withColumnRenamed("turn", "row_no"), ["conv_id"], "g")
+    return rows.select("conv_id", F.left(F.array_join(F.transform("g", lambda s: s["text"]), " | "), F.lit(1000)).alias("ctx"))
+
+
+@BOOK.query("""SELECT a.conv_id, a.turn, string_agg(CASE WHEN b.turn = a.turn THEN 'PRIMARY' ELSE 'SPEC_ROW_' || (b.turn + 1) END || ': ' || b.text, ' | ' ORDER BY b.turn) AS ctx FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.text <> '' GROUP BY ALL""")
+def block_context(t):
+    """Each row with the whole text of its group, uncut, itself marked."""
+    rows = t.conversations.select("conv_id", "turn", F.col("turn").alias("row_no"), "text")
+    return rows.join(bl.parts_of(rows, ["conv_id"], "g"), "conv_id").select("conv_id", "turn", bl.marked(F.col("g"), F.col("row_no")).alias("ctx"))
 
 
 @BOOK.query("SELECT conv_id, arg_min(turn, struct_pack(a := CASE WHEN role = 'assistant' AND length(text) > 300 THEN 0 ELSE 1 END, b := turn)) AS anchor_turn FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
