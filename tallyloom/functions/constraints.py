@@ -92,7 +92,8 @@ def found_in(df: DataFrame, text: str, out: str = "found") -> DataFrame:
     flags = F.array_compact(F.array(*(F.when(F.col(f), F.lit(f)) for f in R.BOOLEAN_FIELDS)))
     numbers = F.map_concat(F.coalesce("throughputs", empty(NUMBERS)), F.coalesce("counts", empty(NUMBERS)))
     spec = F.struct(F.col("device_type"), numbers.alias("numbers"), F.coalesce("interfaces", empty(COUNTS)).alias("interfaces"), flags.alias("flags"), F.coalesce("ha_modes", F.array().cast("array<string>")).alias("ha_modes"), "excluded")
-    return read.select(*(F.col(f"_own.`{c}`").alias(c) for c in df.columns), spec.alias(out))
+    # bound: a struct's fields would be taken apart and each computed again by every step that names one
+    return read.select(*(F.col(f"_own.`{c}`").alias(c) for c in df.columns), rq.bound(F.lit(0), lambda _: spec).alias(out))
 
 
 def measured(df_or_prefix: str = "") -> Column:
@@ -113,19 +114,17 @@ def normalized(df: DataFrame, meta: str, source: Column, found: str | None = Non
     none = F.lit(None).cast("string")
     own = F.col(f"{found}.numbers") if found else empty(NUMBERS)
     text = lambda m, k: F.try_element_at(m, k)
-    truthy = lambda k: ~F.coalesce(F.lower(text(top, k)), F.lit("")).isin("", "0", "0.0", "false", "{}", "[]")
 
-    def picked(k: Column) -> Column:
-        below = F.when(has(detected, k), text(detected, k)).otherwise(text(nested, k))
-        return F.when(has(top, k), text(top, k)).otherwise(below)
-
-    def value(k: Column) -> Column:
+    def value(p: Column) -> Column:
+        stands = lambda x: ranged(p["key"], p[x])
+        below = F.when(p["has_d"], stands("d")).otherwise(stands("n"))
+        if found and fills:
+            return F.when(p["has_t"], stands("t")).otherwise(F.coalesce(ranged(p["key"], filled(p["d"])), p["own"], stands("n")))
+        plain = F.when(p["has_t"], stands("t")).otherwise(below)
         if not found:
-            return ranged(k, picked(k))
-        if fills:
-            stated = F.coalesce(ranged(k, filled(text(detected, k))), text(own, k), ranged(k, text(nested, k)))
-            return F.when(has(top, k), ranged(k, text(top, k))).otherwise(stated)
-        return F.when(truthy(k), ranged(k, text(top, k))).when(text(own, k).isNotNull(), text(own, k)).otherwise(ranged(k, picked(k)))
+            return plain
+        truthy = ~F.coalesce(F.lower(p["t"]), F.lit("")).isin("", "0", "0.0", "false", "{}", "[]")
+        return F.when(truthy, stands("t")).when(p["own"].isNotNull(), p["own"]).otherwise(plain)
 
     def ranged(k: Column, raw: Column) -> Column:
         v = F.try_parse_json(raw)
@@ -133,7 +132,11 @@ def normalized(df: DataFrame, meta: str, source: Column, found: str | None = Non
         return F.when(k.isin(*R.RANGE_FIELDS) & raw.startswith("{"), tx.number(least)).otherwise(tx.number(raw))
 
     first = lambda maps, names: F.coalesce(*(F.when(has(m, F.lit(n)), F.coalesce(text(m, F.lit(n)), F.lit(""))) for m in maps for n in names), none)
-    df = df.withColumn("numbers", entries(words(R.NUMERIC_FIELDS), value))
+    told = lambda k: F.struct(k.alias("key"), has(top, k).alias("has_t"), text(top, k).alias("t"), has(detected, k).alias("has_d"), text(detected, k).alias("d"), text(nested, k).alias("n"), text(own, k).alias("own"))
+    some_of = F.filter(F.transform(words(R.NUMERIC_FIELDS), told), lambda p: F.coalesce(p["t"], p["d"], p["n"]).isNotNull() | p["own"].isNotNull())
+    df = df.withColumn("_told", some_of)
+    pairs = F.transform("_told", lambda p: F.struct(p["key"].alias("key"), value(p).alias("value")))
+    df = df.withColumn("numbers", F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))).drop("_told")
     tbps = tx.number(text(detected, F.lit("switching_capacity_tbps"))) * 1000
     df = df.withColumn("numbers", put(F.col("numbers"), "switching_capacity_gbps", tbps))
     mbps = F.when(~has(F.col("numbers"), F.lit("throughput_gbps")), tx.number(first([top, detected, nested], ["throughput_mbps"])) / 1000)
@@ -147,10 +150,10 @@ def normalized(df: DataFrame, meta: str, source: Column, found: str | None = Non
     ports = most(stated, F.col(f"{found}.interfaces")) if found else stated
     df = df.withColumn("interfaces", most(ports, F.transform_keys(listed, lambda k, _: F.element_at(names, k))))
     flagged = [F.when((F.lower(F.coalesce(text(top, F.lit(f)), F.lit(""))) == "true") | (F.lower(F.coalesce(text(detected, F.lit(f)), F.lit(""))) == "true") | (F.lower(F.coalesce(text(nested, F.lit(f)), F.lit(""))) == "true") | (F.array_contains(F.col(f"{found}.flags"), f) if found else F.lit(False)), F.lit(f)) for f in R.BOOLEAN_FIELDS]
-    told = lambda m: modes(F.nullif(filled(text(m, F.lit("ha_modes"))), F.lit("[]")))
+    said = lambda m: modes(F.nullif(filled(text(m, F.lit("ha_modes"))), F.lit("[]")))
     some = lambda c: F.when(F.size(c) > 0, c)
     mine = [F.col(f"{found}.ha_modes")] if found else []
-    order = [*mine, told(top), told(detected), told(nested)] if fills else [told(top), *mine, told(detected), told(nested)]
+    order = [*mine, said(top), said(detected), said(nested)] if fills else [said(top), *mine, said(detected), said(nested)]
     df = df.withColumn("ha_modes", F.coalesce(*map(some, order), F.array().cast("array<string>")))
     df = df.withColumn("flags", F.array_compact(F.array(*flagged)))
     df = df.withColumn("flags", F.when(F.size("ha_modes") > 0, F.array_union(F.col("flags"), words(["ha_supported"]))).otherwise(F.col("flags")))

@@ -75,40 +75,6 @@ def number(c: Column) -> Column:
     return F.coalesce(whole, F.when(unit.isin("m", "million"), n * 1e6).when(unit != "", n * 1e3), listed)
 
 
-def gbps(c: Column) -> Column:
-    """The largest ``number unit`` throughput of the text in Gbps."""
-    found = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+(?:\.\d+)?)\s*([tgm])bps"), F.lit(1))
-    units = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+(?:\.\d+)?)\s*([tgm])bps"), F.lit(2))
-    return F.array_max(F.zip_with(found, units, lambda n, u: n.cast("double") * F.when(u == "t", 1000.0).when(u == "m", 0.001).otherwise(1.0)))
-
-
-def labelled_count(c: Column, label: str) -> Column:
-    """The largest number behind the label, else the largest before it; k, thousand, m and
-    million scale it; cut to a whole number."""
-
-    def largest(pattern: str) -> Column:
-        n, u = (F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(k)) for k in (1, 2))
-        return F.array_max(F.zip_with(n, u, lambda n, u: (n.cast("double") * F.when(u.isin("k", "thousand"), 1e3).when(u.isin("m", "million"), 1e6).otherwise(1.0)).cast("bigint")))
-
-    part = r"(\d+(?:\.\d+)?)\s*(k|thousand|million|m)?"
-    return F.coalesce(largest(label + r"[^\d|]{0,12}" + part), largest(part + r"\s*" + label))
-
-
-def capacity(c: Column, unit: str) -> Column:
-    """The largest ``number unit`` that no ``n x`` stands before."""
-    pattern = rf"(\d+\s*x\s*)?(\d+(?:\.\d+)?)\s*{unit}"
-    pre, n = (F.regexp_extract_all(F.lower(c), F.lit(pattern), F.lit(k)) for k in (1, 2))
-    return F.array_max(F.transform(F.filter(F.arrays_zip(pre.alias("p"), n.alias("n")), lambda s: s["p"] == ""), lambda s: s["n"].cast("double")))
-
-
-def interface_count(c: Column, name: str) -> Column:
-    """Sum of the ``n x name`` counts, or the largest ``name n`` if that is more; null for none."""
-    ahead = F.transform(F.regexp_extract_all(F.lower(c), F.lit(rf"(\d+)\s*x\s*{name}"), F.lit(1)), lambda n: n.cast("bigint"))
-    behind = F.transform(F.regexp_extract_all(F.lower(c), F.lit(rf"{name}\s*[:=]\s*(\d+)"), F.lit(1)), lambda n: n.cast("bigint"))
-    total = F.aggregate(ahead, F.lit(0).cast("bigint"), lambda a, n: a + n)
-    return F.nullif(F.greatest(total, F.coalesce(F.array_max(behind), F.lit(0))), F.lit(0))
-
-
 def numbered_sections(c: Column) -> Column:
     """Parts that begin with 1.2 or 1.2.3 and a blank; what stands before the first goes."""
     parts = F.split(F.regexp_replace(c, r"(\b\d+(?:\.\d+)+\s+)", "\u0001$1"), "\u0001")

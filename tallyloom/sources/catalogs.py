@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import rules as R
 from ..operators import shape as sh
 
 
@@ -43,6 +46,33 @@ def first_of_each(rows: DataFrame, keys: Sequence[str] = ("vendor", "model")) ->
     return sh.first_wins(known, [F.lower(k) for k in keys], ["file", "pos"])
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with ord, their place over all files: the file's in the order of names, then the product's."""
+    files = rows.select("file").distinct().withColumn("_f", F.row_number().over(Window.orderBy("file")))
+    return rows.join(F.broadcast(files) if files.count() <= 100_000 else files, "file").withColumn("ord", F.col("_f") * (1 << 32) + F.col("pos")).drop("_f")
+
+
+#: Catalogs in their order.
+NETWORK_FILES = ["fortinet_scraped.json", "fortinet.json"]
+JUNIPER_FILE = "juniper.json"
+
+
+def network_catalog(rows: DataFrame, provider: str = "fortinet", include_juniper: bool = True) -> DataFrame:
+    """vendor, model, category, url, product, ord of a scan: for juniper its own file with the vendor set, else the files in
+    their fixed order, network vendors only, with curated products that they lack. The first of each vendor, model and category counts."""
+    order = [JUNIPER_FILE] if provider == "juniper" else NETWORK_FILES + [JUNIPER_FILE] * include_juniper
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("file"))
+    rows = rows.where(F.col("file").isin(*order) & F.col("model").isNotNull()).withColumn("ord", place * (1 << 32) + F.col("pos"))
+    if provider == "juniper":
+        rows = rows.withColumn("vendor", F.lit("Juniper"))
+    else:
+        rows = rows.where(F.lower("vendor").isin("fortinet", "juniper"))
+        goods = rows.sparkSession.createDataFrame([("", json.dumps(R.CURATED))], "file string, raw string")
+        rows = rows.unionByName(products(goods).withColumn("ord", (len(order) + 1) * F.lit(1 << 32) + F.col("pos")))
+    key = [F.lower("vendor"), F.lower("model"), F.lower(F.coalesce("category", F.lit("")))]
+    return sh.first_wins(rows, key, ["ord"]).drop("file", "pos")
+
+
 def spec(product: Column, *names: str) -> Column:
     """The first of the names that the product has as a number: a number, a text, or an object
     whose max, value, required or min counts, in this order."""

@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def first_value(replies: Column) -> Column:
+    """The first complete JSON object or list of a reply, as text: of its fenced block, if there is one, else from the first brace or
+    bracket on; what follows it does not matter. Null without one."""
+
+    def one(reply):
+        if not isinstance(reply, str):
+            return None
+        text = reply.lstrip("\ufeff").strip()
+        fence = re.search(r"```(?:json)?\s*(.*?)```", text, re.S | re.I)
+        text = fence[1].strip() if fence else text
+        starts = [k for k in (text.find("{"), text.find("[")) if k >= 0]
+        if not starts:
+            return None
+        try:
+            return json.dumps(json.JSONDecoder().raw_decode(text[min(starts) :])[0], ensure_ascii=False)
+        except ValueError:
+            return None
+
+    @F.pandas_udf("string")
+    def run(col: pd.Series) -> pd.Series:
+        return col.map(one)
+
+    return run(replies)
+
+
 def salvaged(raw: Column) -> Column:
     """VARIANT of a reply: its fenced block, else the whole, else from the first brace to the
     last; null if none parses."""
