@@ -79,9 +79,13 @@ def rows(spark):
 
 
 @pytest.fixture(scope="module")
-def injected(rows, products):
-    out = inject.inject_references(rows, products).cache()
-    return {(r["doc_id"], r["row_no"]): r for r in out.collect()}
+def table(rows, products):
+    return inject.inject_references(rows, products).cache()
+
+
+@pytest.fixture(scope="module")
+def injected(table):
+    return {(r["doc_id"], r["row_no"]): r for r in table.collect()}
 
 
 @pytest.mark.parametrize("name", SHEETS)
@@ -104,17 +108,16 @@ def test_written_rows(injected):
     assert "capped" in injected["t17", 4]["reasoning"] and "30000" in injected["t17", 4]["reasoning"]
 
 
-def test_counters(rows, products):
-    c = inject.stats(inject.inject_references(rows.where("doc_id IN ('t10', 't13', 't15')"), products)).first()
+def test_counters(table):
+    c = inject.stats(table.where("doc_id IN ('t10', 't13', 't15')")).first()
     assert (c["rows_seen"], c["matched_rows"], c["unmatched_rows"], c["sections_skipped"]) == (15, 3, 0, 9)
 
 
 def test_another_judge_may_not_choose_an_oversized_product(spark, rows, products):
     one = rows.where("doc_id = 't1'")
     said = spark.createDataFrame([("Technical Requirements:2:segment-1", "Fortinet", "FortiGate 3500A", "safe_match", 0.99, "the largest")], "row_id string, vendor string, selected_model string, match_status string, confidence double, reasoning string")
-    for override in (False, True):
-        got = inject.inject_references(one, products, inject.Provider(may_override=override), said).where("row_no = 1").first()
-        assert "800A" in got["reference"] and "largest" not in got["reasoning"]
+    got = inject.inject_references(one, products, inject.Provider(may_override=True), said).where("row_no = 1").first()
+    assert "800A" in got["reference"] and "largest" not in got["reasoning"]
     same = said.withColumn("selected_model", F.lit("fortigate 800a"))
     got = inject.inject_references(one, products, decisions=same).where("row_no = 1").first()
     assert "800A" in got["reference"] and "largest" in got["reasoning"]
