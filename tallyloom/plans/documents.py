@@ -201,7 +201,7 @@ def column_width_stats(t):
     return t.documents.select("doc_id", F.greatest(F.lit(15), F.least(F.array_max(F.transform(F.split("text", "\n"), lambda x: F.length(x))) + 2, F.lit(65))).cast("bigint").alias("width"))
 
 
-@BOOK.query()
+@BOOK.query(r"SELECT doc_id, regexp_replace(text, '(\S)\s+([a-zA-Z0-9][.)])\s+', '\1' || chr(10) || '\2 ', 'g') AS text FROM documents")
 def inline_bullet_split(t):
     return t.documents.select("doc_id", tx.inline_bullets(F.col("text")).alias("text"))
 
