@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Fixed weights of the composite score.
 WEIGHTS = {"semantic": 0.55, "fuzzy": 0.25, "keyword": 0.15, "domain": 0.05}
-#: Query vectors that go to the executors at a time.
+#: Vectors in a pack, of queries or of rows.
 BLOCK = 1024
 
 
@@ -66,40 +66,34 @@ def token_sort_ratios(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("q", "d", "a", "b").mapInPandas(run, "q bigint, d bigint, ratio double")
 
 
+def packed(df: DataFrame, key: str, vector: str, rows: int, out: str, name: str) -> DataFrame:
+    """out (number), name (array of (k, v)): df in about equal packs of rows vectors, dealt by hash."""
+    n = max(1, -(-df.count() // rows))
+    dealt = df.select(F.pmod(F.xxhash64(key), F.lit(n)).alias(out), F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).alias("x"))
+    return dealt.groupBy(out).agg(F.collect_list("x").alias(name))
+
+
 def cosine_top(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int, digits: int = 6) -> DataFrame:
-    """q, d, cos: the k nearest rows of each query row. Queries go out in blocks of BLOCK;
-    each batch of rows meets a block as one matrix product and keeps its best k a query,
-    and the partial results are ranked by aggregation."""
+    """q, d, cos: the k nearest rows of each query row; vectors have unit length. Queries and rows go in packs of about BLOCK;
+    each pack of rows meets each pack of queries as one matrix product in some task, which keeps its best k a query, and
+    the partial results are ranked by aggregation. Nothing is held on the driver."""
     from .shape import top_k
 
-    out, schema = None, "q bigint, d bigint, cos double"
-    block: list = []
+    asked, held = packed(queries, key, vector, BLOCK, "block", "a"), packed(rows, key, vector, BLOCK, "pack", "b")
+    packs = max(1, -(-rows.count() // BLOCK))
+    pairs = asked.withColumn("pack", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(packs - 1).cast("bigint")))).join(held, "pack").select("a", "b")
 
-    def part(block: list) -> DataFrame:
-        ids, m = [r[0] for r in block], np.array([r[1] for r in block], "f8")
-
-        def run(batches):
-            for b in batches:
-                if not len(b):
-                    continue
-                cos = np.round(m @ np.array(b["v"].tolist(), "f8").T, digits)
-                own = b["k"].to_numpy()
+    def run(batches):
+        for batch in batches:
+            for a, b in zip(batch["a"], batch["b"]):
+                own, ids = np.array([x["k"] for x in b]), [x["k"] for x in a]
+                cos = np.round(np.array([x["v"] for x in a], "f8") @ np.array([x["v"] for x in b], "f8").T, digits)
                 for i, q in enumerate(ids):
                     keep = own != q
                     order = np.lexsort((own[keep], -cos[i][keep]))[:k]
                     yield pd.DataFrame({"q": q, "d": own[keep][order], "cos": cos[i][keep][order]})
 
-        return rows.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(run, schema)
-
-    for r in queries.select(key, vector).toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            out, block = part(block) if out is None else out.unionByName(part(block)), []
-    if block:
-        out = part(block) if out is None else out.unionByName(part(block))
-    if out is None:
-        return rows.sparkSession.createDataFrame([], schema)
-    return top_k(out, ["q"], [F.desc("cos"), "d"], k)
+    return top_k(pairs.mapInPandas(run, "q bigint, d bigint, cos double"), ["q"], [F.desc("cos"), "d"], k)
 
 
 def composite(parts: dict[str, Column]) -> Column:
