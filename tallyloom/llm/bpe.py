@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-#: Pieces remembered by one Python worker, some 120 bytes each; forgotten all at once when full.
-CACHE_PIECES = 500_000
+#: Pieces remembered by one Python worker, some 250 bytes each; forgotten all at once when full.
+CACHE_PIECES = 200_000
+#: Rows that a worker returns at a time.
+ROWS = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -148,17 +150,18 @@ def encode_documents(df: DataFrame, path: str | Callable[[], str], pattern: str,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path if isinstance(path, str) else path(), pattern)
         for b in batches:
-            ids = [c.encode(t or "") for t in b["text"]]
-            out = {
-                "key": b["key"],
-                "n_tokens": [len(x) // 4 for x in ids],
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(c.decode(x)).hexdigest() for x in ids],
-            }
-            yield pd.DataFrame(out | ({"ids": [np.frombuffer(x, "<u4").astype("int64") for x in ids]} if keep_ids else {}))
+            for at in range(0, len(b), ROWS):
+                ids = [c.encode(t or "") for t in b["text"].iloc[at : at + ROWS]]
+                out = {
+                    "key": b["key"].iloc[at : at + ROWS].reset_index(drop=True),
+                    "n_tokens": [len(x) // 4 for x in ids],
+                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+                    "decoded_sha256": [hashlib.sha256(c.decode(x)).hexdigest() for x in ids],
+                }
+                yield pd.DataFrame(out | ({"ids": [np.frombuffer(x, "<i4") for x in ids]} if keep_ids else {}))
 
     kind = df.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>" * keep_ids
+    schema = f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return df.selectExpr(f"`{key}` AS key", f"`{text}` AS text").mapInPandas(run, schema).withColumnRenamed("key", key)
 
 

@@ -7,10 +7,12 @@ import re
 import struct
 
 import numpy as np
+import public_tokenizers as P
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, contamination, gif, licenses, lines, neardup, quality, toxicity
+from tallyloom.llm import bpe, chat, contamination, gif, licenses, lines, neardup, quality, toxicity, urls
 
 from .test_operators import DOCS, EDGE, LONG, docs
 
@@ -403,3 +405,21 @@ def test_operators_take_clashing_columns_and_empty_tables(spark):
     empty = df.limit(0)
     assert quality.score_quality(empty, labels).count() == toxicity.score_toxicity(empty, labels).count() == 0
     assert neardup.near_duplicates(empty).count() == licenses.scan_licenses(empty).count() == gif.store_texts(empty).count() == 0
+
+
+def test_urls_of_any_length_and_ties(spark):
+    long = "http://x.net/" + "a1/" * 20_000
+    rows = [(1, long), (1, long), (2, "http://a.org/" + "good" * 9), (3, "http://b.com/de/" + "bad" * 9), (4, None), (4, None), (5, "http://y.net/?q#f")]
+    df = spark.createDataFrame(rows, "page_id int, url string").withColumns({"_u": F.lit(1), "score": F.lit(2), "host": F.lit("h"), "_x": F.lit(3)})
+    got = urls.judge_urls(df).collect()
+    assert len(got) == len(rows) and len({(r["page_id"], r["path"], r["score"], r["verdict"]) for r in got}) == 5
+    by = {r["page_id"]: r for r in got}
+    assert by[1]["path"] == long[12:] and by[5]["path"] == "/" and by[4]["host"] == by[4]["path"] == "" and by[2]["verdict"] == "allow" and by[3]["verdict"] == "block"
+
+
+def test_bpe_returns_many_rows_in_order(spark):
+    rows = [(k, None if k % 7 == 0 else f"row {k} " * (k % 5)) for k in range(1000)]
+    path = bpe.public_path("byte_bpe_multi_50k.tiktoken")
+    got = bpe.encode_documents(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), path, P.PATTERN).collect()
+    want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path()), special_tokens={})
+    assert [(r["doc_id"], r["ids"]) for r in got] == [(k, want.encode_ordinary(t or "")) for k, t in rows]
