@@ -2,8 +2,8 @@
 
 Metadata is held as four maps of text (top, detected, nested, interfaces), as the JSON of a row
 gives them; constraints are the columns device_type, numbers (field to value), interfaces (name to
-count), flags, ha_modes, notes and scale_users. Each step is a projection over the columns of the
-step before, so Catalyst computes a column once however often the next step names it.
+count), flags, ha_modes, notes and scale_users. Each step is one bound expression over the columns of the
+step before: what it names often is computed once a row, and no method grows too large to be compiled.
 """
 
 from __future__ import annotations
@@ -35,7 +35,14 @@ def has(m: Column, key: Column) -> Column:
 def put(m: Column, key, value: Column) -> Column:
     """m with the key set, where the value is not null."""
     key = F.lit(key) if isinstance(key, str) else key
-    return F.when(value.isNull(), m).otherwise(F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(key, value)))
+    return tx.bound(value, lambda v: F.when(v.isNull(), m).otherwise(F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(key, v))))
+
+
+def then(c: Column, *steps) -> Column:
+    """c, and each step of what the step before gives."""
+    for step in steps:
+        c = tx.bound(c, step)
+    return c
 
 
 def without(m: Column, keys) -> Column:
@@ -44,7 +51,7 @@ def without(m: Column, keys) -> Column:
 
 def filled(c: Column) -> Column:
     """Text that says something, or null."""
-    return F.nullif(F.trim(c), F.lit(""))
+    return tx.bound(F.trim(c), lambda x: F.nullif(x, F.lit("")))
 
 
 def most(a: Column, b: Column) -> Column:
@@ -61,24 +68,25 @@ def entries(names: Column, value) -> Column:
 def category(c: Column) -> Column:
     """The category that a name stands for; names without one stand for themselves in upper case."""
     known = sorted(set(R.CATEGORY_ALIASES.values()))
-    key = F.regexp_replace(F.lower(F.trim(c)), "[ -]", "_")
-    found = F.element_at(F.create_map(*(F.lit(x) for kv in R.CATEGORY_ALIASES.items() for x in kv)), key)
-    named = F.when(F.trim(c).isin(*known), F.trim(c)).otherwise(F.coalesce(found, F.upper(F.trim(c))))
-    return F.when(filled(c).isNotNull() & (c != "unknown"), named)
+    aliases = F.create_map(*(F.lit(x) for kv in R.CATEGORY_ALIASES.items() for x in kv))
+    found = lambda x: F.element_at(aliases, F.regexp_replace(F.lower(x), "[ -]", "_"))
+    named = lambda x: F.when(x.isin(*known), x).otherwise(F.coalesce(found(x), F.upper(x)))
+    return tx.bound(c, lambda c: F.when(filled(c).isNotNull() & (c != "unknown"), tx.bound(F.trim(c), named)))
 
 
 def modes(raw: Column) -> Column:
     """The modes that a list, or a text of parts between , ; / and |, names."""
-    parts = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.split(raw, "[,;/|]+"))
-    found = F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda p: rq.ha_modes(tx.plain(p)))
-    return F.array_distinct(F.flatten(found))
+    none = F.array().cast("array<string>")
+    parts = lambda x: F.when(x.startswith("["), F.from_json(x, "array<string>")).otherwise(F.split(x, "[,;/|]+"))
+    found = lambda x: F.transform(F.coalesce(parts(x), none), lambda p: tx.bound(tx.plain(p), rq.ha_modes))
+    return tx.bound(raw, lambda x: F.when(x.isNull(), none).otherwise(F.array_distinct(F.flatten(found(x)))))
 
 
 def metadata(v: Column) -> Column:
     """META of a VARIANT object (null: without anything)."""
-    part = lambda path: F.coalesce(F.try_variant_get(v, path, TEXTS), empty(TEXTS))
-    own = F.coalesce(F.try_variant_get(v, "$.interfaces", TEXTS), F.try_variant_get(v, "$.requirements.interfaces", TEXTS), empty(TEXTS))
-    return F.struct(part("$").alias("top"), part("$.detected_specs").alias("detected"), part("$.requirements").alias("nested"), own.alias("interfaces"))
+    part = lambda v, path: F.coalesce(F.try_variant_get(v, path, TEXTS), empty(TEXTS))
+    own = lambda v: F.coalesce(F.try_variant_get(v, "$.interfaces", TEXTS), F.try_variant_get(v, "$.requirements.interfaces", TEXTS), empty(TEXTS))
+    return tx.bound(v, lambda v: F.struct(part(v, "$").alias("top"), part(v, "$.detected_specs").alias("detected"), part(v, "$.requirements").alias("nested"), own(v).alias("interfaces")))
 
 
 def no_metadata() -> Column:
@@ -96,102 +104,126 @@ def found_in(df: DataFrame, text: str, out: str = "found") -> DataFrame:
     return read.select(*(F.col(f"_own.`{c}`").alias(c) for c in df.columns), rq.bound(F.lit(0), lambda _: spec).alias(out))
 
 
-def measured(df_or_prefix: str = "") -> Column:
-    """Whether there is a number other than 0, an interface or a mode."""
-    c = lambda n: F.col(f"{df_or_prefix}{n}")
+def measured(df_or_prefix: str = "", found: Column | None = None) -> Column:
+    """Whether there is a number other than 0, an interface or a mode, in the columns or in struct found."""
+    c = lambda n: F.col(f"{df_or_prefix}{n}") if found is None else found[n]
     return F.exists(F.map_values(c("numbers")), lambda x: x != 0) | (F.size(c("interfaces")) > 0) | (F.size(c("ha_modes")) > 0)
 
 
-def hard(prefix: str = "") -> Column:
+def hard(prefix: str = "", found: Column | None = None) -> Column:
     """Whether there is anything that a product can fail."""
-    return measured(prefix) | (F.size(F.col(f"{prefix}flags")) > 0)
+    return measured(prefix, found) | (F.size(F.col(f"{prefix}flags") if found is None else found["flags"]) > 0)
 
 
 def normalized(df: DataFrame, meta: str, source: Column, found: str | None = None, fills: bool = False) -> DataFrame:
     """df with SPEC from column meta (META), and from found: its numbers stand where top has none (or,
     with fills, where detected has none), its interfaces raise counts, its flags and modes are added."""
-    top, detected, nested = (F.col(f"{meta}.{n}") for n in ("top", "detected", "nested"))
+    given = F.struct(F.col(meta).alias("meta"), *([F.col(found).alias("found")] if found else []))
+    df = df.withColumn("_spec", tx.bound(given, lambda g: _spec(g["meta"], g["found"] if found else None, fills)))
+    return promoted(df.withColumns({n: F.col(f"_spec.{n}") for n in SPEC}).drop("_spec"), source)
+
+
+def _spec(meta: Column, found: Column | None, fills: bool) -> Column:
+    """Struct of SPEC; found is None for none."""
+    top, detected, nested = (meta[n] for n in ("top", "detected", "nested"))
     none = F.lit(None).cast("string")
-    own = F.col(f"{found}.numbers") if found else empty(NUMBERS)
+    own = empty(NUMBERS) if found is None else found["numbers"]
     text = lambda m, k: F.try_element_at(m, k)
 
     def value(p: Column) -> Column:
         stands = lambda x: ranged(p["key"], p[x])
         below = F.when(p["has_d"], stands("d")).otherwise(stands("n"))
-        if found and fills:
+        if found is not None and fills:
             return F.when(p["has_t"], stands("t")).otherwise(F.coalesce(ranged(p["key"], filled(p["d"])), p["own"], stands("n")))
         plain = F.when(p["has_t"], stands("t")).otherwise(below)
-        if not found:
+        if found is None:
             return plain
         truthy = ~F.coalesce(F.lower(p["t"]), F.lit("")).isin("", "0", "0.0", "false", "{}", "[]")
         return F.when(truthy, stands("t")).when(p["own"].isNotNull(), p["own"]).otherwise(plain)
 
     def ranged(k: Column, raw: Column) -> Column:
-        v = F.try_parse_json(raw)
-        least = F.coalesce(*(F.try_variant_get(v, f"$.{n}", "string") for n in ("min", "required", "value", "max")))
-        return F.when(k.isin(*R.RANGE_FIELDS) & raw.startswith("{"), tx.number(least)).otherwise(tx.number(raw))
+        least = lambda v: F.coalesce(*(F.try_variant_get(v, f"$.{n}", "string") for n in ("min", "required", "value", "max")))
+        return tx.bound(raw, lambda x: F.when(k.isin(*R.RANGE_FIELDS) & x.startswith("{"), tx.number(tx.bound(F.try_parse_json(x), least))).otherwise(tx.number(x)))
 
     first = lambda maps, names: F.coalesce(*(F.when(has(m, F.lit(n)), F.coalesce(text(m, F.lit(n)), F.lit(""))) for m in maps for n in names), none)
     told = lambda k: F.struct(k.alias("key"), has(top, k).alias("has_t"), text(top, k).alias("t"), has(detected, k).alias("has_d"), text(detected, k).alias("d"), text(nested, k).alias("n"), text(own, k).alias("own"))
-    some_of = F.filter(F.transform(words(R.NUMERIC_FIELDS), told), lambda p: F.coalesce(p["t"], p["d"], p["n"]).isNotNull() | p["own"].isNotNull())
-    df = df.withColumn("_told", some_of)
-    pairs = F.transform("_told", lambda p: F.struct(p["key"].alias("key"), value(p).alias("value")))
-    df = df.withColumn("numbers", F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))).drop("_told")
-    tbps = tx.number(text(detected, F.lit("switching_capacity_tbps"))) * 1000
-    df = df.withColumn("numbers", put(F.col("numbers"), "switching_capacity_gbps", tbps))
-    mbps = F.when(~has(F.col("numbers"), F.lit("throughput_gbps")), tx.number(first([top, detected, nested], ["throughput_mbps"])) / 1000)
-    df = df.withColumn("numbers", put(F.col("numbers"), "throughput_gbps", mbps))
-    gb = F.when(~has(F.col("numbers"), F.lit("storage_tb")), tx.number(first([top, detected, nested], ["storage_gb", "local_storage_gb"])) / 1024)
-    df = df.withColumn("numbers", put(F.col("numbers"), "storage_tb", gb))
-    df = df.withColumn("numbers", put(F.col("numbers"), "connections_per_second", tx.number(first([detected, nested], ["cps"]))))
-    stated = F.map_filter(F.transform_values(F.col(f"{meta}.interfaces"), lambda _, x: tx.number(x).cast("bigint")), lambda _, x: x.isNotNull())
-    listed = entries(words(R.INTERFACE_FIELDS), lambda k: tx.number(F.when(has(top, k), text(top, k)).otherwise(text(detected, k))).cast("bigint"))
+    keys = lambda m: F.coalesce(F.map_keys(m), words([]))
+    there = F.array_intersect(words(R.NUMERIC_FIELDS), F.concat(*map(keys, (top, detected, nested, own))))
+    some_of = F.filter(F.transform(there, told), lambda p: F.coalesce(p["t"], p["d"], p["n"]).isNotNull() | p["own"].isNotNull())
+    pairs = F.transform(some_of, lambda p: F.struct(p["key"].alias("key"), value(p).alias("value")))
+    missing = lambda n, k, names, by: F.when(~has(n, F.lit(k)), tx.number(first([top, detected, nested], names)) / by)
+    numbers = then(
+        F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull())),
+        lambda n: put(n, "switching_capacity_gbps", tx.number(text(detected, F.lit("switching_capacity_tbps"))) * 1000),
+        lambda n: put(n, "throughput_gbps", missing(n, "throughput_gbps", ["throughput_mbps"], 1000)),
+        lambda n: put(n, "storage_tb", missing(n, "storage_tb", ["storage_gb", "local_storage_gb"], 1024)),
+        lambda n: put(n, "connections_per_second", tx.number(first([detected, nested], ["cps"]))),
+    )
+    stated = F.map_filter(F.transform_values(meta["interfaces"], lambda _, x: tx.number(x).cast("bigint")), lambda _, x: x.isNotNull())
+    fields = F.array_intersect(words(R.INTERFACE_FIELDS), F.concat(keys(top), keys(detected)))
+    listed = entries(fields, lambda k: tx.number(F.when(has(top, k), text(top, k)).otherwise(text(detected, k))).cast("bigint"))
     names = F.create_map(*(F.lit(x) for kv in R.INTERFACE_FIELDS.items() for x in kv))
-    ports = most(stated, F.col(f"{found}.interfaces")) if found else stated
-    df = df.withColumn("interfaces", most(ports, F.transform_keys(listed, lambda k, _: F.element_at(names, k))))
-    flagged = [F.when((F.lower(F.coalesce(text(top, F.lit(f)), F.lit(""))) == "true") | (F.lower(F.coalesce(text(detected, F.lit(f)), F.lit(""))) == "true") | (F.lower(F.coalesce(text(nested, F.lit(f)), F.lit(""))) == "true") | (F.array_contains(F.col(f"{found}.flags"), f) if found else F.lit(False)), F.lit(f)) for f in R.BOOLEAN_FIELDS]
-    said = lambda m: modes(F.nullif(filled(text(m, F.lit("ha_modes"))), F.lit("[]")))
-    some = lambda c: F.when(F.size(c) > 0, c)
-    mine = [F.col(f"{found}.ha_modes")] if found else []
+    ports = stated if found is None else most(stated, found["interfaces"])
+    interfaces = most(ports, F.transform_keys(listed, lambda k, _: F.element_at(names, k)))
+    true = lambda m, f: F.lower(F.coalesce(text(m, F.lit(f)), F.lit(""))) == "true"
+    flagged = [F.when(true(top, f) | true(detected, f) | true(nested, f) | (F.lit(False) if found is None else F.array_contains(found["flags"], f)), F.lit(f)) for f in R.BOOLEAN_FIELDS]
+    said = lambda m: tx.bound(modes(tx.bound(filled(text(m, F.lit("ha_modes"))), lambda x: F.nullif(x, F.lit("[]")))), lambda c: F.when(F.size(c) > 0, c))
+    mine = [] if found is None else [F.when(F.size(found["ha_modes"]) > 0, found["ha_modes"])]
     order = [*mine, said(top), said(detected), said(nested)] if fills else [said(top), *mine, said(detected), said(nested)]
-    df = df.withColumn("ha_modes", F.coalesce(*map(some, order), F.array().cast("array<string>")))
-    df = df.withColumn("flags", F.array_compact(F.array(*flagged)))
-    df = df.withColumn("flags", F.when(F.size("ha_modes") > 0, F.array_union(F.col("flags"), words(["ha_supported"]))).otherwise(F.col("flags")))
-    kind = F.coalesce(*(filled(text(top, F.lit(k))) for k in ("device_type", "category", "device_category")))
-    df = df.withColumn("device_type", category(kind))
-    if found:
-        mine = F.col(f"{found}.device_type")
-        certain = F.lit(False) if fills else mine.isNotNull() & hard(f"{found}.")
-        df = df.withColumn("device_type", F.when(certain, mine).otherwise(F.coalesce("device_type", mine)))
-    return promoted(df, source)
+    chosen = F.coalesce(*order, F.array().cast("array<string>"))
+    kind = category(F.coalesce(*(filled(text(top, F.lit(k))) for k in ("device_type", "category", "device_category"))))
+    if found is not None:
+        certain = F.lit(False) if fills else found["device_type"].isNotNull() & hard(found=found)
+        kind = F.when(certain, found["device_type"]).otherwise(F.coalesce(kind, found["device_type"]))
+
+    def whole(ha: Column) -> Column:
+        flags = tx.bound(F.array_compact(F.array(*flagged)), lambda x: F.when(F.size(ha) > 0, F.array_union(x, words(["ha_supported"]))).otherwise(x))
+        return F.struct(kind.alias("device_type"), numbers.alias("numbers"), interfaces.alias("interfaces"), flags.alias("flags"), ha.alias("ha_modes"))
+
+    return tx.bound(chosen, whole)
 
 
 def promoted(df: DataFrame, source: Column) -> DataFrame:
     """A firewall's plain throughput becomes the one that its text is about."""
-    low = F.lower(F.left(F.coalesce(source, F.lit("")), F.lit(1000)))
-    n = F.col("numbers")
-    field = None
-    for terms, name in R.PROMOTED:
-        fits = tx.any_of(low, terms) & ~has(n, F.lit(name))
-        field = F.when(fits, name) if field is None else field.when(fits, name)
-    field = field.when(~has(n, F.lit("ngfw_throughput_gbps")) & ~has(n, F.lit("firewall_throughput_gbps")), "ngfw_throughput_gbps")
-    plain = F.coalesce(F.try_element_at(n, F.lit("throughput_gbps")), F.lit(0.0))
-    df = df.withColumns({"_to": F.when((plain != 0) & (F.col("device_type") == "NGFW"), F.coalesce(field, F.lit(""))), "_plain": plain})
-    moved = without(n, ["throughput_gbps"])
-    moved = F.when(F.col("_to") == "", moved).otherwise(F.map_concat(moved, F.create_map(F.coalesce("_to", F.lit("")), F.col("_plain"))))
-    return df.withColumn("numbers", F.when(F.col("_to").isNull(), n).otherwise(moved)).drop("_to", "_plain")
+
+    def field(low: Column, n: Column) -> Column:
+        out = None
+        for terms, name in R.PROMOTED:
+            fits = tx.any_of(low, terms) & ~has(n, F.lit(name))
+            out = F.when(fits, name) if out is None else out.when(fits, name)
+        return F.coalesce(out.when(~has(n, F.lit("ngfw_throughput_gbps")) & ~has(n, F.lit("firewall_throughput_gbps")), "ngfw_throughput_gbps"), F.lit(""))
+
+    def moved(g: Column) -> Column:
+        n = g["n"]
+        plain = F.coalesce(F.try_element_at(n, F.lit("throughput_gbps")), F.lit(0.0))
+        rest = without(n, ["throughput_gbps"])
+        put_to = tx.bound(tx.bound(F.lower(F.left(g["s"], F.lit(1000))), lambda low: field(low, n)), lambda to: F.when(to == "", rest).otherwise(F.map_concat(rest, F.create_map(to, plain))))
+        return F.when((plain != 0) & (g["kind"] == "NGFW"), put_to).otherwise(n)
+
+    given = F.struct(F.col("numbers").alias("n"), F.col("device_type").alias("kind"), F.coalesce(source, F.lit("")).alias("s"))
+    return df.withColumn("numbers", tx.bound(given, moved))
 
 
 def labelled_throughputs(df: DataFrame, text: str) -> DataFrame:
     """A throughput behind its label counts before any other reading."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    for field, pattern in R.LABELLED.items():
+
+    def one(low: Column, pattern: str) -> Column:
         whole = rf"(?:{pattern})[^\d]{{0,80}}(\d+(?:\.\d+)?)\s*(tbps|gbps|mbps)\b"
-        n, u = (F.regexp_extract(low, whole, k) for k in (1, 2))
-        value = n.try_cast("double") * F.when(u == "tbps", 1000.0).when(u == "mbps", 0.001).otherwise(1.0)
-        df = df.withColumn("numbers", put(F.col("numbers"), field, value))
-    told = tx.any_of(F.left(low, F.lit(1200)), ["next generation firewall throughput", "ngfw throughput"]) & has(F.col("numbers"), F.lit("ngfw_throughput_gbps"))
-    return df.withColumn("numbers", F.when(told, without(F.col("numbers"), ["firewall_throughput_gbps"])).otherwise(F.col("numbers")))
+        return tx.bound(F.regexp_extract(low, whole, 2), lambda u: F.when(u != "", F.regexp_extract(low, whole, 1).try_cast("double") * F.when(u == "tbps", 1000.0).when(u == "mbps", 0.001).otherwise(1.0)))
+
+    def over(n: Column, low: Column) -> Column:
+        found = F.filter(F.array(*(F.struct(F.lit(f).alias("key"), one(low, p).alias("value")) for f, p in R.LABELLED.items())), lambda e: e["value"].isNotNull())
+        return tx.bound(found, lambda es: F.map_concat(F.map_filter(n, lambda k, _: ~F.exists(es, lambda e: e["key"] == k)), F.map_from_entries(es)))
+
+    def told(n: Column, low: Column) -> Column:
+        first = tx.any_of(F.left(low, F.lit(1200)), ["next generation firewall throughput", "ngfw throughput"]) & has(n, F.lit("ngfw_throughput_gbps"))
+        return F.when(first, without(n, ["firewall_throughput_gbps"])).otherwise(n)
+
+    def read(g: Column) -> Column:
+        return F.when(g["low"].contains("throughput"), then(g["n"], lambda n: over(n, g["low"]), lambda n: told(n, g["low"]))).otherwise(g["n"])
+
+    given = F.struct(F.col("numbers").alias("n"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
+    return df.withColumn("numbers", tx.bound(given, read))
 
 
 def counted_interfaces(df: DataFrame, found: str) -> DataFrame:
@@ -212,10 +244,11 @@ def counted_interfaces(df: DataFrame, found: str) -> DataFrame:
 
 def vpn_users(df: DataFrame, text: str) -> DataFrame:
     """The most VPN users that the text states; scale_users where they are those of a solution."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    numbers = lambda p: F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
-    plain, scaled = numbers(R.VPN_USERS), F.concat(*map(numbers, R.SCALED_USERS))
-    df = df.withColumns({"_users": F.array_max(F.concat(plain, scaled)), "_scaled": F.array_max(scaled)})
+    numbers = lambda low, p: F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
+    both = lambda plain, scaled: F.struct(F.array_max(F.concat(plain, scaled)).alias("users"), F.array_max(scaled).alias("scaled"))
+    read = lambda low: F.when(low.contains("vpn") & low.contains("user"), tx.bound(F.concat(*(numbers(low, p) for p in R.SCALED_USERS)), lambda s: both(numbers(low, R.VPN_USERS), s)))
+    df = df.withColumn("_read", tx.bound(F.lower(F.coalesce(F.col(text), F.lit(""))), read))
+    df = df.withColumns({"_users": F.col("_read.users"), "_scaled": F.col("_read.scaled")}).drop("_read")
     there = F.col("_users").isNotNull()
     df = df.withColumn("numbers", F.when(there, put(without(F.col("numbers"), ["max_local_remote_users"]), "ssl_vpn_users", F.col("_users"))).otherwise(F.col("numbers")))
     df = df.withColumn("device_type", F.when(there, "NGFW").otherwise(F.col("device_type")))

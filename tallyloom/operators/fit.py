@@ -23,9 +23,8 @@ CHECK = "array<struct<field:string,need:double,have:double,ok:boolean,weight:dou
 
 def value(raw: Column) -> Column:
     """A specification: a number, a text, or an object whose max, value, required or min counts, in this order."""
-    v = F.try_parse_json(raw)
-    inner = F.coalesce(*(cs.filled(F.try_variant_get(v, f"$.{n}", "string")) for n in ("max", "value", "required", "min")))
-    return tx.number(cs.filled(F.when(raw.startswith("{"), inner).otherwise(raw)))
+    inner = lambda v: F.coalesce(*(cs.filled(F.try_variant_get(v, f"$.{n}", "string")) for n in ("max", "value", "required", "min")))
+    return tx.bound(raw, lambda x: tx.number(cs.filled(F.when(x.startswith("{"), tx.bound(F.try_parse_json(x), inner)).otherwise(x))))
 
 
 def with_specs(products: DataFrame, product: str = "product") -> DataFrame:
@@ -119,7 +118,7 @@ def checks(prefix: str = "") -> Column:
     kept = F.when(F.size("p_modes") > 0, F.size(F.array_except(wanted, F.col("p_modes"))) == 0).otherwise(generic)
     mode = F.when(F.size(wanted) > 0, F.array(row(F.lit("ha_modes"), none, none, kept, F.lit(1.0), no))).otherwise(F.array().cast(CHECK))
     listed = lambda names, f: F.transform(names, f).cast(CHECK)
-    asked = F.filter(cs.words(R.NUMERIC_FIELDS), lambda f: cs.has(numbers, f))
+    asked = F.array_intersect(cs.words(R.NUMERIC_FIELDS), F.map_keys(numbers))
     return F.concat(listed(asked, numeric), listed(F.map_keys(ports), port), listed(flags, flag), mode)
 
 
@@ -180,6 +179,22 @@ def paired(requirements: DataFrame, products: DataFrame, vendors: Column, provid
     return asked.join(named_, ["_vendor", "_serves"]).drop("_vendor", "_serves")
 
 
+#: What decides a product's checks and scores.
+FITTING = ["vendor", "category", "p_numbers", "p_interfaces", "p_modes", "p_flags", "p_ports", "p_options", "p_speed"]
+
+
+def classes(products: DataFrame, place: str, by_model: bool) -> DataFrame:
+    """A row for each set of products that no requirement can tell apart: FITTING, model (of one of them), n, first (the
+    TOP first by scale and place) and oldest (the REJECTED first by place). by_model: the model's name counts too."""
+    parts = [F.array_sort(F.map_entries(c)) if c in ("p_numbers", "p_interfaces") else F.col(c) for c in FITTING]
+    key = F.to_json(F.struct(*(p.alias(f"k{i}") for i, p in enumerate([*parts, *([F.col("model")] if by_model else [])]))))
+    own = products.select(*FITTING, "model", "p_url", "p_scale", F.col(place).alias("place"), key.alias("_class"))
+    least = lambda n, *order: own.withColumn("_rn", F.row_number().over(Window.partitionBy("_class").orderBy(*order))).where(F.col("_rn") <= n).groupBy("_class")
+    first = least(TOP, "p_scale", "place").agg(F.sort_array(F.collect_list(F.struct("p_scale", "place", "model", "p_url"))).alias("first"), *(F.first(c).alias(c) for c in [*FITTING, "model"]))
+    oldest = least(REJECTED, "place").agg(F.sort_array(F.collect_list(F.struct("place", "model"))).alias("oldest"))
+    return first.join(oldest, "_class").join(own.groupBy("_class").agg(F.count(F.lit(1)).alias("n")), "_class").drop("_class")
+
+
 ORDER = ["weighted_overprovision_penalty", "weighted_worst_overprovision", "overprovision_penalty"]
 REJECTED, TOP, FIELDS = 8, 5, 8
 
@@ -191,20 +206,25 @@ def matched(requirements: DataFrame, products: DataFrame, key: Sequence[str], ve
     Requirements without a category or without anything to check have no row."""
     asks = staged(requirements).where(F.col("device_type").isNotNull() & cs.hard())
     by = [*key, "vendor_asked"]
-    pairs = paired(asks, products, vendors, provider).withColumn("checks", checks()).withColumn("_ok", F.size(named(False)) == 0)
-    pairs = pairs.withColumn("_missing", F.slice(named(False), 1, FIELDS))
-    good = scored(pairs.where("_ok"), context).withColumns({"_less": -F.col("coverage"), "_far": -F.col("affinity")})
-    order = [*ORDER, "_less", "_far", "p_scale", place]
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    few = good.withColumn("rank", rank).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).where(F.col("rank") <= TOP)
+    pairs = paired(asks, staged(classes(products, place, context is not None)), vendors, provider).withColumn("checks", checks()).withColumn("_ok", F.forall("checks", lambda c: c["ok"]))
+    good = scored(pairs.where("_ok"), context).withColumns({"_less": -F.col("coverage"), "_far": -F.col("affinity"), "_m": F.struct(named(True).alias("m"))})
+    kept = ["category", "total", *ORDER, "weighted_closeness", "coverage", "_m"]
+    good = good.select(*by, "vendor", *kept, "_less", "_far", "n", "first", F.col("first")[0]["p_scale"].alias("p_scale"), F.col("first")[0]["place"].alias("place"))
+    order = [*ORDER, "_less", "_far", "p_scale", "place"]
+    ranked = lambda df, n, order: df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
+    # the first products stand in the first classes, by each class's own first
+    few = ranked(good.drop("n"), TOP, order).drop("rank", "p_scale", "place").select("*", F.inline("first")).drop("first")
+    few = ranked(few, TOP, order)
     first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c)))
     won = few.groupBy(*by).agg(
         *(first(c).alias(c) for c in ("vendor", "model", "category", "p_url", "total", *ORDER, "weighted_closeness", "coverage", "p_scale")),
-        F.max(F.when(F.col("rank") == 1, F.struct(named(True).alias("m")))).alias("_m"),
-        F.first("_n").alias("valid"),
+        F.max(F.when(F.col("rank") == 1, F.col("_m"))).alias("_m"),
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "model"))), lambda x: x["model"]).alias("top"),
     )
-    bad = pairs.where("not _ok").withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(place))).where(F.col("_rn") <= REJECTED)
+    won = won.join(pairs.where("_ok").groupBy(*by).agg(F.sum("n").alias("valid")), by)
+    bad = pairs.where("not _ok").select(*by, "oldest", F.col("oldest")[0]["place"].alias("place"), F.slice(named(False), 1, FIELDS).alias("_missing"))
+    bad = ranked(bad, REJECTED, ["place"]).drop("rank", "place").select("*", F.inline("oldest")).drop("oldest")
+    bad = ranked(bad, REJECTED, ["place"]).withColumnRenamed("rank", "_rn")
     bad = bad.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "model", F.col("_missing").alias("missing")))), lambda x: F.struct(x["model"].alias("model"), x["missing"].alias("missing"))).alias("rejected"))
     confidence = F.round(F.greatest(F.lit(0.5), F.least(F.lit(0.99), F.col("total"))), 2)
     out = asks.select(*key, F.posexplode(vendors).alias("vendor_no", "vendor_asked")).join(won, by, "left").join(bad, by, "left")

@@ -17,6 +17,7 @@ from ..operators import fit, gates, guide, inject, plain, power
 from ..sources import catalogs as ct
 from ..sources import sheets as ss
 from ..sources import volumes as vo
+from ..sources.staged import spread
 from .book import Book
 
 BOOK = Book()
@@ -78,7 +79,7 @@ def constraint_chain(t):
     text = F.concat(F.lit("Firewall: NGFW throughput "), s.cast("string"), F.when(k % 2 == 0, " Gbps").otherwise(" Mbps"), F.lit(", concurrent sessions "), (k % 7 + 1).cast("string"), F.lit(" million"), F.when(k % 3 == 0, F.concat(F.lit(", SSL VPN for "), (s * 10).cast("string"), F.lit(" users"))).otherwise(""), F.when(k % 5 == 0, ", active/passive").otherwise(""), F.lit(", "), s.cast("string"), F.lit(" x 10G SFP+ interfaces"))
     listed = F.when(k % 4 == 0, s * 10).when(k % 4 == 1, s * 1000 + 1000).when(k % 4 == 2, s - 1).otherwise(s)
     meta = F.to_json(F.struct(F.lit("CENTRALIZED_MANAGEMENT").alias("device_type"), F.struct(listed.alias("interfaces_10g"), F.lit(200).alias("max_devices_vdoms")).alias("detected_specs")))
-    rows = t.part.select("p_partkey", "p_size", text.alias("text"), cs.metadata(F.parse_json(meta)).alias("meta"))
+    rows = spread(t.part.select("p_partkey", "p_size")).select("p_partkey", "p_size", text.alias("text"), cs.metadata(F.parse_json(meta)).alias("meta"))
     got = cs.parse_constraints(rows, "text", "meta")
     n = lambda f: F.try_element_at(F.col("numbers"), F.lit(f))
     return got.select("p_partkey", "device_type", F.round(n("ngfw_throughput_gbps"), 9).alias("ngfw"), n("concurrent_sessions").alias("sessions"), F.col("interfaces")["10g_sfp_plus"].alias("ports"), n("ssl_vpn_users").alias("users"), F.size("notes").cast("bigint").alias("n_notes"), F.array_contains("flags", "ha_supported").alias("ha"))
@@ -93,7 +94,7 @@ def metadata_normalize(t):
     kind = F.when(k % 4 == 0, "Next Generation Firewall").when(k % 4 == 1, "data-center switch").when(k % 4 == 2, "fire alarms").otherwise("unknown")
     detected = F.struct(F.when(k % 3 != 2, c % 100).alias("policies"), (k % 9 + 1).alias("switching_capacity_tbps"), (c % 8).alias("interfaces_10g"), F.when(c % 2 == 0, F.struct(F.lit(10).alias("min"), F.lit(20).alias("max"))).alias("power_capacity_kw"))
     meta = F.to_json(F.struct(kind.alias("device_category"), F.when(k % 3 == 0, (k % 100).cast("string")).alias("policies"), c.alias("storage_gb"), F.struct((k % 8).cast("string").alias("10g_sfp_plus")).alias("interfaces"), F.when(k % 2 == 0, F.array(F.lit("Active/Passive"), F.lit("Cluster"))).alias("ha_modes"), detected.alias("detected_specs"), F.struct(F.lit(7).alias("policies")).alias("requirements")))
-    got = cs.normalized(t.orders.select("o_orderkey", cs.metadata(F.parse_json(meta)).alias("meta")), "meta", F.lit(""))
+    got = cs.normalized(spread(t.orders.select("o_orderkey", "o_custkey")).select("o_orderkey", cs.metadata(F.parse_json(meta)).alias("meta")), "meta", F.lit(""))
     n = lambda f: F.try_element_at(F.col("numbers"), F.lit(f))
     return got.select("o_orderkey", "device_type", n("policies").alias("policies"), n("storage_tb").alias("storage_tb"), n("switching_capacity_gbps").alias("switching"), F.col("interfaces")["10g_sfp_plus"].alias("ports"), n("power_capacity_kw").alias("power_kw"), F.array_join("ha_modes", ",").alias("modes"))
 
@@ -235,6 +236,7 @@ def closest_products(t):
     kinds = F.array(*map(F.lit, sorted(r[0] for r in t.part.select("p_type").distinct().limit(1000).collect())))
     n = F.col("n_nationkey")
     wish = t.nation.select("n_nationkey", F.explode(kinds).alias("device_type"), F.create_map(F.lit("ngfw_throughput_gbps"), (n * 2 + 1).cast("double"), F.lit("storage_tb"), (n % 3 + 1).cast("double")).alias("numbers"), F.create_map(F.lit("10g_sfp_plus"), (n % 5 + 1).cast("bigint")).alias("interfaces"), cs.words([]).alias("flags"), cs.words([]).alias("ha_modes"))
+    goods = spread(goods)
     got = fit.matched(wish.withColumn("category_asked", F.col("device_type")), fit.with_specs(goods), ["n_nationkey", "category_asked"], cs.words(["any"]))
     return got.select("n_nationkey", F.col("category_asked").alias("category"), F.col("valid").cast("bigint").alias("valid"), F.round("weighted_overprovision_penalty", 6).alias("penalty"))
 

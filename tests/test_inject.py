@@ -185,3 +185,22 @@ def test_specs_of_products(spark):
     a, b = df.orderBy("model").collect()
     assert (a["o"], a["x"], a["i25"], a["i40"], a["p_numbers"]["storage_tb"], a["p_numbers"]["throughput_gbps"], a["p_scale"]) == (24, 48, 24, 0, 0.9375, 0.5, 24)
     assert (b["o"], b["p_numbers"]["ipsec_vpn_throughput_gbps"], b["p_numbers"]["ngfw_throughput_gbps"], b["p_numbers"]["firewall_throughput_gbps"]) == (6, 3, 8, 8)
+
+
+def test_equal_products_are_one_class(spark):
+    goods = [{"vendor": "Any", "model": f"m{k % 7} {k}", "category": "NGFW", "ngfw_throughput_gbps": 1 if k == 9 else 5, "interfaces": {"1g_rj45": 8}} for k in range(41)]
+    raw = spark.createDataFrame([("a.json", json.dumps({"products": goods}))], "file string, raw string")
+    products = fit.with_specs(catalogs.products(raw).withColumnRenamed("pos", "ord"))
+    assert sorted(r["n"] for r in fit.classes(products, "ord", False).collect()) == [1, 40]
+    asks = spark.sql("SELECT 1 AS k, 'NGFW' AS device_type, map('ngfw_throughput_gbps', 4D) AS numbers, map('1g_rj45', 2L) AS interfaces, array() :: array<string> AS flags, array() :: array<string> AS ha_modes")
+    got = fit.matched(asks, products, ["k"], cs.words(["any"])).first()
+    assert (got["valid"], got["top"], [r["model"] for r in got["rejected"]]) == (40, ["m0 0", "m1 1", "m2 2", "m3 3", "m4 4"], ["m2 9"])
+
+
+def test_metadata_is_parsed_once(spark):
+    df = spark.createDataFrame([('{"ports": "1,200", "detected_specs": {"policies": 7}}',)], "j string")
+    plan = lambda c: df.select(c.alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan(cs.metadata(F.parse_json("j"))).count("parse_json(") == 1
+    assert plan(cs.put(cs.empty(cs.NUMBERS), "a", F.length("j").cast("double"))).count("length(") == 1
+    got = cs.normalized(df.select(cs.metadata(F.parse_json("j")).alias("m")), "m", F.lit("")).first()
+    assert got["numbers"] == {"ports": 1200.0, "policies": 7.0}
