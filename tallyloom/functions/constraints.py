@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staged import spread
 from . import requirements as rq
 from . import rules as R
 from . import text as tx
@@ -278,6 +279,15 @@ def parse_constraints(df: DataFrame, text: str, meta: str | None = None) -> Data
     return sanitized(df).drop("_found", "_meta")
 
 
+def parse_distinct(df: DataFrame, text: str, meta: str) -> DataFrame:
+    """parse_constraints with column meta of JSON text, reading each distinct text with its metadata once: reading
+    costs far more than dealing the rows by what they say."""
+    said = spread(df.select(F.col(text).alias("_said"), F.col(meta).alias("_json")).distinct())
+    read = parse_constraints(said.withColumn("_made", metadata(F.parse_json("_json"))), "_said", "_made").select("_said", "_json", *SPEC, "notes", "scale_users")
+    rows = df.drop(*SPEC, "notes", "scale_users")
+    return rows.join(read, rows[text].eqNullSafe(read["_said"]) & rows[meta].eqNullSafe(read["_json"])).drop("_said", "_json")
+
+
 #: Further categories of one vendor by words of the text, in order.
 JUNIPER_CATEGORIES = [
     ("WIRELESS_AP", ["wireless access point", "access point", "wi-fi", "wifi", "mist ap", "ap45", "ap47"]),

@@ -79,8 +79,7 @@ def constraint_chain(t):
     text = F.concat(F.lit("Firewall: NGFW throughput "), s.cast("string"), F.when(k % 2 == 0, " Gbps").otherwise(" Mbps"), F.lit(", concurrent sessions "), (k % 7 + 1).cast("string"), F.lit(" million"), F.when(k % 3 == 0, F.concat(F.lit(", SSL VPN for "), (s * 10).cast("string"), F.lit(" users"))).otherwise(""), F.when(k % 5 == 0, ", active/passive").otherwise(""), F.lit(", "), s.cast("string"), F.lit(" x 10G SFP+ interfaces"))
     listed = F.when(k % 4 == 0, s * 10).when(k % 4 == 1, s * 1000 + 1000).when(k % 4 == 2, s - 1).otherwise(s)
     meta = F.to_json(F.struct(F.lit("CENTRALIZED_MANAGEMENT").alias("device_type"), F.struct(listed.alias("interfaces_10g"), F.lit(200).alias("max_devices_vdoms")).alias("detected_specs")))
-    rows = spread(t.part.select("p_partkey", "p_size")).select("p_partkey", "p_size", text.alias("text"), cs.metadata(F.parse_json(meta)).alias("meta"))
-    got = cs.parse_constraints(rows, "text", "meta")
+    got = cs.parse_distinct(t.part.select("p_partkey", "p_size", text.alias("text"), meta.alias("meta")), "text", "meta")
     n = lambda f: F.try_element_at(F.col("numbers"), F.lit(f))
     return got.select("p_partkey", "device_type", F.round(n("ngfw_throughput_gbps"), 9).alias("ngfw"), n("concurrent_sessions").alias("sessions"), F.col("interfaces")["10g_sfp_plus"].alias("ports"), n("ssl_vpn_users").alias("users"), F.size("notes").cast("bigint").alias("n_notes"), F.array_contains("flags", "ha_supported").alias("ha"))
 

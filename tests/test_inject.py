@@ -204,3 +204,10 @@ def test_metadata_is_parsed_once(spark):
     assert plan(cs.put(cs.empty(cs.NUMBERS), "a", F.length("j").cast("double"))).count("length(") == 1
     got = cs.normalized(df.select(cs.metadata(F.parse_json("j")).alias("m")), "m", F.lit("")).first()
     assert got["numbers"] == {"ports": 1200.0, "policies": 7.0}
+
+
+def test_each_distinct_text_is_read_once(spark):
+    rows = spark.createDataFrame([(k, [None, "Firewall: NGFW throughput 5 Gbps", "SWITCH"][k % 3], [None, '{"policies": 9}'][k % 2]) for k in range(12)], "k int, text string, meta string")
+    got = {r["k"]: (r["text"], r["device_type"], r["numbers"]) for r in cs.parse_distinct(rows, "text", "meta").collect()}
+    assert sorted(got) == list(range(12)) and got[0] == (None, None, {}) and got[3] == (None, None, {"policies": 9.0})
+    assert got[1][1:] == ("NGFW", {"policies": 9.0, "ngfw_throughput_gbps": 5.0}) and got[2][1:] == ("SWITCH", {})
